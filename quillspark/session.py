@@ -25,7 +25,7 @@ def build_session(app: str = "quillspark", cores: str | int = "*", memory: str =
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     spark = builder.config(map=settings).getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
