@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, decontam, langid, pii, quality, token_files, warc
+from quillspark.llm import bpe, chat, decontam, langid, minhash, pii, quality, token_files, warc
 from quillspark.llm.common import read
 from quillspark.llm.oracles import ORACLES
 
@@ -62,6 +62,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -76,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_pii, op4_bpe, op5_langid, op6_chat, op8_token_files, op9_warc, op10_quality)
+    own = (op1_decontaminate, op2_pii, op4_bpe, op5_langid, op6_chat, op7_minhash, op8_token_files, op9_warc, op10_quality)
     return {f.__name__: f for f in own}
 
 
