@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, decontam, langid, minhash, pii, quality, token_files, warc
+from quillspark.llm import bpe, chat, decontam, langid, minhash, pii, quality, suffix_dedup, token_files, warc
 from quillspark.llm.common import read
 from quillspark.llm.oracles import ORACLES
 
@@ -31,6 +31,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -80,7 +85,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_pii, op4_bpe, op5_langid, op6_chat, op7_minhash, op8_token_files, op9_warc, op10_quality)
+    own = (op1_decontaminate, op2_pii, op3_suffix_dedup, op4_bpe, op5_langid, op6_chat, op7_minhash, op8_token_files, op9_warc, op10_quality)
     return {f.__name__: f for f in own}
 
 
