@@ -1,7 +1,8 @@
 """File sources: trees of text, Markdown, HTML, CSV and Office files as page tables.
 
 Listing and reading are Spark's binaryFile source, so any file system works; a file that cannot be
-read becomes a row with status ``error``, never a failed job.
+read becomes a row with status ``error``, never a failed job. Spark's file sources pass over files of no
+bytes; ``extract_bytes`` calls them ``empty`` where another source delivers them.
 """
 
 from __future__ import annotations
