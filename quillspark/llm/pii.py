@@ -193,12 +193,12 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", re
     key = key or docs.sparkSession.conf.get("spark.quillspark.pii.key", DEFAULT_KEY)
     body = F.col(text)
     found = F.when(F.rlike(body, F.lit(HINT)), F.regexp_extract_all(body, F.lit(FINDER), F.lit(0)))
-    out = docs.drop("pii_kinds").withColumn("_found", found)
-    new = F.when(F.size("_found") > 0, F.transform("_found", lambda x: _pseudonym(x, key, reverse)))
-    out = out.withColumn("_new", new)
-    joined = F.array_join(F.zip_with(F.split(body, FINDER, -1), F.col("_new"), lambda gap, v: F.concat(gap, F.coalesce(v["text"], F.lit("")))), "")
-    kinds = F.filter(F.transform("_new", lambda v: v["kind"]), lambda k: k.isNotNull())
-    return out.withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(body)).drop("_found", "_new")
+    out = docs.drop("pii_kinds").withColumn("__quill_found", found)
+    new = F.when(F.size("__quill_found") > 0, F.transform("__quill_found", lambda x: _pseudonym(x, key, reverse)))
+    out = out.withColumn("__quill_new", new)
+    joined = F.array_join(F.zip_with(F.split(body, FINDER, -1), F.col("__quill_new"), lambda gap, v: F.concat(gap, F.coalesce(v["text"], F.lit("")))), "")
+    kinds = F.filter(F.transform("__quill_new", lambda v: v["kind"]), lambda k: k.isNotNull())
+    return out.withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).withColumn(text, F.when(F.col("__quill_new").isNotNull(), joined).otherwise(body)).drop("__quill_found", "__quill_new")
 
 
 def report(docs: DataFrame, key: str | None = None) -> DataFrame:

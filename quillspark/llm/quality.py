@@ -57,21 +57,21 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, all long."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"_body": body, "_words": F.regexp_extract_all(body, F.lit(WORD), F.lit(0))})
-    lines = F.filter(F.split(F.col("_body"), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    n = F.size("_words")
-    windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
-    out = out.withColumns({"_lines": lines, "_windows": windows, "n_words": n.cast("long")})
-    whole = F.size(F.array_distinct("_windows")) == F.size("_windows")
+    out = docs.withColumns({"__quill_body": body, "__quill_words": F.regexp_extract_all(body, F.lit(WORD), F.lit(0))})
+    lines = F.filter(F.split(F.col("__quill_body"), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    n = F.size("__quill_words")
+    windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__quill_words", i, WINDOW))))
+    out = out.withColumns({"__quill_lines": lines, "__quill_windows": windows, "n_words": n.cast("long")})
+    whole = F.size(F.array_distinct("__quill_windows")) == F.size("__quill_windows")
     return out.withColumns(
         {
-            "word_chars": (F.length("_body") - F.regexp_count("_body", F.lit(SPACE))).cast("long"),
-            "n_symbols": F.regexp_count("_body", F.lit(SYMBOL)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_windows").isNull() | whole, F.lit(0)).otherwise(repeated_words(F.col("_windows"))).cast("long"),
+            "word_chars": (F.length("__quill_body") - F.regexp_count("__quill_body", F.lit(SPACE))).cast("long"),
+            "n_symbols": F.regexp_count("__quill_body", F.lit(SYMBOL)).cast("long"),
+            "n_lines": F.size("__quill_lines").cast("long"),
+            "n_dup_lines": (F.size("__quill_lines") - F.size(F.array_distinct("__quill_lines"))).cast("long"),
+            "n_repeat_words": F.when(F.col("__quill_windows").isNull() | whole, F.lit(0)).otherwise(repeated_words(F.col("__quill_windows"))).cast("long"),
         }
-    ).drop("_body", "_words", "_lines", "_windows")
+    ).drop("__quill_body", "__quill_words", "__quill_lines", "__quill_windows")
 
 
 def base_failed() -> Column:
