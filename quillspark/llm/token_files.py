@@ -24,15 +24,18 @@ from __future__ import annotations
 
 import json
 import os
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import load
+from quillspark.llm.bpe import byte_alphabet, load
 from quillspark.llm.common import flat, keep, scratch, small_batches, steps
 
 LIMIT = 16
@@ -41,7 +44,8 @@ STRIDE = 128
 BLOCK_IDS = 1 << 16
 #: Blocks of a file, at most.
 FILE_BLOCKS = 64
-CACHE = 300_000
+#: Entries of each generation of a worker's cache.
+CACHE = 400_000
 MAGIC = b"QTB1"
 
 
@@ -50,87 +54,128 @@ def pieces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def apart(text: str) -> str:
+    """text with full stops and commas cut off, unless one stands in a run of punctuation."""
+    marks = [c for c in set(text) if not c.isalnum() and not c.isspace()]
+    if any(m + x in text or x + m in text for m in marks for x in ".,"):
+        return text
+    return text.replace(".", " .").replace(",", " ,")
+
+
 class ChunkEncoder:
-    """Ids of texts by a tokenizers file, through a cache of the chunks between spaces."""
+    """Ids of texts by a tokenizers file, as packed bytes, through a cache of the chunks between spaces and line ends.
+
+    The cache has two generations: when the young one is full it becomes the old one, and what is
+    still in use moves back, so frequent chunks stay. A text that is in normal form, has no special
+    token and no capital sigma (whose lower case depends on its place) is lower-cased first, if the
+    tokenizer does that anyway; then full stops and commas that stand alone are cut off, and a
+    chunk's pieces go straight to the BPE model. All else goes through the whole tokenizer.
+    """
 
-    def __init__(self, data: str):
+    def __init__(self, data: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         spec = json.loads(data)
+        self.kind = kind
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         probe = "ab, c'd\n12 é <|x|>  y\n"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        apart = [i for x in pieces(probe) if x for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
-        self.by_chunk = whole == apart and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
-        self.chunks: dict[str, tuple[int, ...]] = {"": ()}
-
-    def encode(self, text: str) -> list[int]:
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.by_chunk = self._whole(probe) == b"".join(map(self._whole, pieces(probe))) and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        pattern = split[0].get("pattern", {}).get("Regex", "") if len(split) == 2 else ""
+        #: Whether letters, digits and punctuation are always apart, and case is folded after NFC.
+        self.by_letter = self.by_chunk and normal == ["NFC", "Replace", "Lowercase"] and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        self.cut = regex.compile(pattern).findall if self.by_letter else None
+        self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+
+    def _chunk(self, chunk: str, plain: bool) -> bytes:
+        """Ids of a chunk that the young generation lacks; plain: its text is ready for the model."""
+        key = chunk if plain else "\0" + chunk
+        ids = self.old.get(key)
+        if ids is None:
+            if not plain:
+                ids = self._whole(chunk)
+            elif chunk.isalpha():
+                ids = self._packed(self._piece(chunk))
+            else:
+                ids = self._packed([i for x in self.cut(chunk) for i in self._piece(x)])
+        if len(chunk) < 64:
+            if len(self.young) >= CACHE:
+                self.young, self.old = {"": b""}, self.young
+            self.young[key] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
         if not self.by_chunk:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        chunks = self.chunks
-        for x in pieces(text):
-            ids = chunks.get(x)
-            if ids is None:
-                ids = tuple(self.tokenizer.encode(x, add_special_tokens=False).ids)
-                if len(x) < 64:
-                    if len(chunks) >= CACHE:
-                        chunks.clear()
-                        chunks[""] = ()
-                    chunks[x] = ids
-            out += ids
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Encodes a batch; the chunks that are new go to the library in one call."""
-        if self.by_chunk:
-            chunks = self.chunks
-            new = {x for t in texts for x in pieces(t) if x not in chunks and len(x) < 64}
-            if new:
-                if len(chunks) + len(new) > CACHE:
-                    chunks.clear()
-                    chunks[""] = ()
-                    new = {x for t in texts for x in pieces(t) if x and len(x) < 64}
-                names = list(new)
-                for x, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
-                    chunks[x] = tuple(e.ids)
-        return [self.encode(t) for t in texts]
+            return self._whole(text)
+        chunk = self._chunk
+        if self.by_letter and not any(x in text for x in self.special) and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text)):
+            parts = pieces(apart(text.lower()))
+            ids = list(map(self.young.get, parts))
+            if None in ids:
+                ids = [chunk(x, True) if i is None else i for x, i in zip(parts, ids)]
+        else:
+            parts = ["\0" + x if x else "" for x in pieces(text)]
+            ids = [chunk(x[1:], False) if i is None else i for x, i in zip(parts, map(self.young.get, parts))]
+        return b"".join(ids)
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
+def id_kind(path: str, end_id: int | None = None) -> str:
+    """The smallest of uint16 and uint32, little-endian, that holds all ids of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id or 0])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian uint32 bytes, with the end id."""
+    """(doc_id, ids): ids as bytes of id_kind(), with the end id."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = load(spark, path)
-    end = [] if end_id is None else [end_id]
+    kind = id_kind(path, end_id)
+    end = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
     def run(batches):
         name, data = shared.value
         if name not in _LOADED:
             _LOADED.clear()
-            _LOADED[name] = ChunkEncoder(data)
+            _LOADED[name] = ChunkEncoder(data, kind)
         coder = _LOADED[name]
         for batch in steps(batches, text):
-            ids = [np.array(x + end, "<u4").tobytes() for x in coder.encode_all([t or "" for t in batch.column(text).to_pylist()])]
+            ids = [coder.encode(t or "") + end for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents; the vocabulary bounds what reaches the driver."""
 
     def run(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
             data, _ = flat(batch.column("ids"))
-            ids = np.frombuffer(data.tobytes(), "<u4")
+            ids = np.frombuffer(data.tobytes(), kind)
             if len(ids):
                 n = np.bincount(ids, minlength=len(total))
                 n[: len(total)] += total
@@ -261,7 +306,7 @@ def parse(data: bytes) -> Iterator[dict]:
         at += 9 + size
 
 
-def write(tokens: DataFrame, path: str, lengths: np.ndarray) -> None:
+def write(tokens: DataFrame, path: str, lengths: np.ndarray, kind: str) -> None:
     """Writes (doc_id, ids) as sorted block files under path/data and the code book under path/codebook."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(np.asarray(lengths, np.uint8))
@@ -271,7 +316,7 @@ def write(tokens: DataFrame, path: str, lengths: np.ndarray) -> None:
         docs, n = [], 0
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                docs.append((doc, np.frombuffer(ids.as_py() or b"", "<u4")))
+                docs.append((doc, np.frombuffer(ids.as_py() or b"", kind)))
                 n += len(docs[-1][1])
                 if n >= BLOCK_IDS:
                     yield one(book, docs)
@@ -340,5 +385,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataF
     spark = docs.sparkSession
     tokens = keep(tokenise(docs, tokenizer, end_id), "token-ids")
     path = scratch(spark, "token-files")
-    write(tokens, path, code_lengths(count_ids(tokens)))
+    kind = id_kind(tokenizer, end_id)
+    write(tokens, path, code_lengths(count_ids(tokens, kind)), kind)
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -321,13 +321,15 @@ def test_chunked_tokens_equal_the_library():
 
     path = queries.tokenizer_path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
-        coder = token_files.ChunkEncoder(f.read())
+        coder = token_files.ChunkEncoder(f.read(), "<u4")
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    texts = ["", "A  b\n\nc", "ΟΔΟΣ İ ﬁ e\u0301 e \u0301", "it's <|endoftext|>x <|start", "\u00a0x\u3000y 12", "don't'll 3a", " \u0301", LONG[:5000]]
+    texts = ["", "A  b\n\nc", "ΟΔΟΣ İ ﬁ e\u0301 e \u0301", "it's <|endoftext|>x <|start", "a.b, c., d_. ².x x,\u0301 5.7,8", "\u00a0x\u3000y 12", "don't'll 3a", " \u0301", LONG[:5000]]
+    texts += [' '.join(''.join(random.Random(i).choices("aBΣé'.,!?1 \u0301<|", k=30)) for i in range(j, j + 20)) for j in range(0, 400, 20)]
     assert coder.by_chunk
-    assert coder.encode_all(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.by_letter
+    assert [np.frombuffer(coder.encode(t), np.uint32).tolist() for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_warc_edges(spark):

@@ -71,14 +71,16 @@ def test_op2_changes_only_personal_data(spark, sf_dir, docs):
         assert r.n_pii == sum(r[f"n_{k}"] for k in pii.PATTERNS)
     assert found > 20
     assert all(len(v) == 1 for v in pairs.values())  # equal values stay linked
-    assert sum(a in v for a, v in pairs.items()) <= 1
     for a, (b,) in pairs.items():
         if "@" in a:
             stem = a.rsplit(".", 1)[0]
             assert b == python_feistel(stem, "email", pii.DEFAULT_KEY) + a[len(stem) :]
         if re.fullmatch(r"\d{16}", a):
             luhn = lambda s: sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(s))) % 10
-            assert (luhn(a), luhn(b)) == (0, 0)
+            if luhn(a):  # no card number
+                assert a == b
+                continue
+            assert luhn(b) == 0
             assert b[:15] == a[0] + python_feistel(a[1:15], "card", pii.DEFAULT_KEY)
 
 
