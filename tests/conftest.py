@@ -12,7 +12,7 @@ from quillspark.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("quillspark-tests", 4, "6g")
+    session = build_session("quillspark-tests", 4, "6g", **{"spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
 
