@@ -28,7 +28,8 @@ ACCENTED, PLAIN = _accents()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Base letters for accented ones; texts without any are passed over, since translate() looks at each character."""
+    return F.when(F.rlike(c, F.lit("[\u00C0-\u024F\u1E00-\u1EFF]")), F.translate(c, ACCENTED, PLAIN)).otherwise(c)
 
 
 def fold(c: Column) -> Column:
@@ -115,18 +116,27 @@ def family_of(model: Column) -> Column:
     return F.when(found != "", F.element_at(families, found)).otherwise(F.initcap(F.substring_index(F.coalesce(model, F.lit("")), " ", 1)))
 
 
+def bound(value: Column, body) -> Column:
+    """Evaluates a value once and hands it to body as a variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def snippet(text: Column, words: list[str], size: int = V.SNIPPET) -> Column:
     """White space collapsed; a longer text is cut to a window around the first of the words."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     used = [w for w in dict.fromkeys(words) if len(w) > 2 and w not in V.STOP_WORDS]
-    if used:
-        places = F.filter(F.array(*[F.locate(w, fold(flat)) for w in used]), lambda p: p > 0)
-        first = F.coalesce(F.array_min(places), F.lit(1)) - 1
-    else:
-        first = F.lit(0)
-    start = F.greatest(F.lit(0), first - size // 3)
-    cut = F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), F.substring(flat, start + 1, F.lit(size)), F.when(start + size < F.length(flat), F.lit("…")).otherwise(F.lit("")))
-    return F.when(F.length(flat) <= size, flat).otherwise(cut)
+
+    def first(low: Column) -> Column:
+        return F.coalesce(F.array_min(F.filter(F.array(*[F.instr(low, w) for w in used]), lambda p: p > 0)), F.lit(1)) - 1
+
+    def cut(flat: Column) -> Column:
+        def window(at: Column) -> Column:
+            start = F.greatest(F.lit(0), at - size // 3)
+            return F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), F.substring(flat, start + 1, F.lit(size)), F.when(start + size < F.length(flat), F.lit("…")).otherwise(F.lit("")))
+
+        place = bound(fold(flat), first) if used else F.lit(0)
+        return F.when(F.length(flat) <= size, flat).otherwise(bound(place, window))
+
+    return bound(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), cut)
 
 
 def parse_date(c: Column) -> Column:

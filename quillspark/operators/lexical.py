@@ -6,8 +6,9 @@ The score of a row is the sum over the query's distinct phrases of
 average length are those of all rows, whatever is filtered later.
 
 A search is one scan: the phrase counts are array expressions over the tokens, the corpus figures
-one aggregated row, and the best rows come from a top-k operator. Nothing but that row is
-exchanged, so cost does not depend on how frequent the terms are.
+one aggregated row, and the best rows come from a top-k operator. What is exchanged is a row's id,
+length and counts, never its text, so cost does not depend on how frequent the terms are. Ids are
+not null.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def scored(rows: DataFrame, query: Query) -> DataFrame:
     if not phrases:
         return rows.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     counted = rows.select("id", F.size("words").cast("long").alias("length"), *[occurrences(F.col("words"), p).alias(f"f{i}") for i, p in enumerate(phrases)])
-    figures = counted.agg(F.count("*").alias("_rows"), F.avg("length").alias("_average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+    # the few counts of a row are exchanged once and read by both branches, so texts are tokenised once
+    counted = counted.repartition("id")
+    figures = counted.agg(F.count("id").alias("_rows"), F.avg("length").alias("_average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
     at = {p: i for i, p in enumerate(phrases)}
     has = [reduce(lambda a, b: a | b, [F.col(f"f{at[p]}") > 0 for p in g.phrases]) for g in query.terms]
     match = reduce(lambda a, b: (a & b) if query.mode == "AND" else (a | b), has)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import read_table
+from quillspark.session import read_table, spread
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ REGISTER_SQL = """register AS (
 
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents cut into pages of five lines: (doc_id, page_no, text)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     ordered = F.array_sort(F.collect_list(F.struct("i", "line")))
     return d.groupBy("doc_id", (F.floor(F.col("i") / 5) + 1).cast("int").alias("page_no")).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 

@@ -9,7 +9,7 @@ from quillspark.functions import text
 from quillspark.operators import control, enrichment, linkage, reports, retrieval
 from quillspark.plans import adapters
 from quillspark.plans.registry import query
-from quillspark.session import read_table
+from quillspark.session import read_table, spread
 
 
 @query("root_counts", f"WITH {adapters.DOCS_SQL}, r AS (SELECT unnest(['/src1', '/src2/en', '/nowhere']) AS root) SELECT root, (SELECT count(*) FROM docs WHERE path_key = root OR starts_with(path_key, root || '/'))::BIGINT AS docs FROM r")
@@ -65,7 +65,7 @@ def machine_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT *, (i // 3 + 1)::INT AS page_no FROM b) SELECT doc_id, page_no, md5(string_agg(text, chr(10) ORDER BY i)) AS page_md5 FROM p WHERE doc_id IN (SELECT doc_id FROM b WHERE i >= 3) GROUP BY doc_id, page_no""")
 def paginated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by break marks: here every third line begins one."""
-    d = read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    d = spread(read_table(spark, sf_dir, "documents")).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     long = d.where("i >= 3").select("doc_id").distinct()
     blocks = d.join(long, "doc_id", "left_semi").withColumns({"is_heading": F.lit(False), "is_break": F.col("i") % 3 == 0})
     return reports.paginate_blocks(blocks).select("doc_id", "page_no", F.md5("text").alias("page_md5"))
@@ -81,7 +81,7 @@ def strength_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sampled_pictures", "WITH o AS (SELECT doc_id, source, sha1(coalesce(text, '')) AS sha1 FROM documents) SELECT count(*)::BIGINT AS n, max(c)::BIGINT AS most FROM (SELECT count(*) OVER (PARTITION BY source) AS c FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha1, doc_id) AS r FROM o) WHERE r <= 2)")
 def sampled_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many a seeded sample takes, and from one document at most; which ones is the hash's choice."""
-    o = read_table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.sha1(F.concat(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string"))).alias("sha1"))
+    o = spread(read_table(spark, sf_dir, "documents")).select(F.col("source").alias("doc_id"), F.sha1(F.concat(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string"))).alias("sha1"))
     s = enrichment.sampled(o, 7, 2, 10_000).groupBy("doc_id").count()
     return s.agg(F.sum("count").alias("n"), F.max("count").alias("most"))
 
@@ -93,7 +93,7 @@ s AS (SELECT doc_id, sum(n * coalesce(m, 0)) / sqrt(sum(n * n)) / (SELECT sqrt(s
 SELECT doc_id AS id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 25""")
 def hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of texts by hashed words, searched by the vector of a query text."""
-    d = read_table(spark, sf_dir, "documents").where(F.length("text") < 400)
+    d = spread(read_table(spark, sf_dir, "documents")).where(F.length("text") < 400)
     # rounded before ranking, so sums of other orders rank alike
     vectors = d.select(F.col("doc_id").alias("vec_id"), retrieval.hash_embedding(F.col("text"), 32).alias("embedding"))
     wanted = retrieval.query_vector(spark, "License, Version 2.0", 32)

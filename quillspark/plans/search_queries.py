@@ -12,7 +12,7 @@ from quillspark.operators.querylang import parse, parse_name_query
 from quillspark.plans import adapters
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import CHUNKS_SQL
-from quillspark.session import read_table
+from quillspark.session import read_table, spread
 
 _WORDS = r"regexp_extract_all(lower(strip_accents({0})), '[\p{{L}}\p{{N}}]+')"
 
@@ -37,7 +37,7 @@ _DOC_WORDS = f"SELECT doc_id AS id, {_WORDS.format('coalesce(text, {0})'.format(
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.tokenised(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lexical.tokenised(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def _rounded(found: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ SELECT id, doc_id, round(score, 9) AS score FROM capped ORDER BY capped.score DE
 )
 def hybrid_chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search: chunks, keyword and dense lists among visible documents, fusion, cap and limit."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     chunks = chunking.chunk_rows(d.select("doc_id", "text")).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("seq"))
     vectors = read_table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 100_000).alias("chunk_id"), "embedding")
     shown = d.where("lang = 'en'").select("doc_id")

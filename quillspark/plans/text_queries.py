@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import chunking, text
 from quillspark.plans import adapters
 from quillspark.plans.registry import query
-from quillspark.session import read_table
+from quillspark.session import read_table, spread
 
 _FOLD_SQL = "lower(strip_accents({0}))"
 _CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(replace(replace(replace(replace({0}, chr(0), ''), chr(173), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\x{{a0}}]+', ' ', 'g'), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"
@@ -16,7 +16,7 @@ _CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(rege
 
 @query("clean_text_stats", f"""SELECT doc_id, length(c)::BIGINT AS clean_chars, md5(c) AS clean_md5 FROM (SELECT doc_id, {_CLEAN_SQL.format("replace(text, '. ', '.  ' || chr(9) || chr(10) || '  ')")} AS c FROM documents)""")
 def clean_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     noisy = F.replace("text", F.lit(". "), F.lit(".  \t\n  "))
     c = text.clean_text(noisy)
     return d.select("doc_id", F.length(c).cast("long").alias("clean_chars"), F.md5(c).alias("clean_md5"))
@@ -36,13 +36,13 @@ CHUNKS_SQL = CHUNKS_SQL.format(cuts=", ".join(f"CASE WHEN strpos(w, {s}) > 0 THE
 
 @query("chunk_documents", f"WITH {CHUNKS_SQL} SELECT doc_id, seq::INT AS seq, length(chunk)::BIGINT AS chars, md5(chunk) AS chunk_md5 FROM chunks")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.chunk_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chunks = chunking.chunk_rows(spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text"))
     return chunks.select("doc_id", "seq", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query("page_rebuild", f"SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE length(text) > 0")
 def page_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.chunk_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chunks = chunking.chunk_rows(spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text"))
     return chunking.rebuilt(chunks, ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -55,7 +55,7 @@ FROM (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)""",
 )
 def fold_flavours(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.split("text", "\n")[0]
-    return read_table(spark, sf_dir, "documents").select("doc_id", text.fold(t).alias("folded"), text.ascii_lower(t).alias("ascii_lower"), text.norm_name(t).alias("name"), text.norm_terms(t).alias("terms"), text.fold_ascii(t).alias("key"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", text.fold(t).alias("folded"), text.ascii_lower(t).alias("ascii_lower"), text.norm_name(t).alias("name"), text.norm_terms(t).alias("terms"), text.fold_ascii(t).alias("key"))
 
 
 @query(
@@ -67,7 +67,7 @@ FROM (SELECT doc_id, text, 'ref 120' || lpad((doc_id % 1000000)::VARCHAR, 6, '0'
 def number_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = lambda c: F.lpad((F.col(c) % 1_000_000).cast("string"), 6, "0")
     x = F.concat(F.lit("ref 120"), pad("doc_id"), F.lit(" and 0100"), pad("n_chars"), F.lit("; no 9120000001 nor 12000"))
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.numbers_in(x), ",").alias("numbers"), F.coalesce(text.first_int(F.col("text")), F.lit(-1)).cast("long").alias("first_number"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", F.array_join(text.numbers_in(x), ",").alias("numbers"), F.coalesce(text.first_int(F.col("text")), F.lit(-1)).cast("long").alias("first_number"))
 
 
 @query(
@@ -80,7 +80,7 @@ SELECT doc_id AS id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.operators.retrieval import hash_embedding_rows
 
-    return hash_embedding_rows(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("id", "bucket", F.round("value", 6).alias("value"))
+    return hash_embedding_rows(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text").select("id", "bucket", F.round("value", 6).alias("value"))
 
 
 @query(
@@ -91,7 +91,7 @@ cut AS (SELECT *, greatest(0, first - 233) AS s FROM places)
 SELECT doc_id, CASE WHEN length(t) <= 700 THEN t ELSE (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(t, s + 1, 700) || (CASE WHEN s + 700 < length(t) THEN '…' ELSE '' END) END AS snippet FROM cut""",
 )
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), ["license", "token", "of", "the"]).alias("snippet"))
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", text.snippet(F.col("text"), ["license", "token", "of", "the"]).alias("snippet"))
 
 
 @query(
@@ -103,7 +103,7 @@ SELECT doc_id, count(*)::BIGINT AS lines, count(*) FILTER (len([x FOR x IN w IF
 )
 def ocr_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
-    return read_table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, text.keeps_line)).cast("long").alias("kept"))
+    return spread(read_table(spark, sf_dir, "documents")).where("text is not null").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, text.keeps_line)).cast("long").alias("kept"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quillspark", cores: str | int = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -32,3 +32,12 @@ def build_session(app: str = "quillspark", cores: str | int = "*", memory: str =
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's parquet tables, by whatever path scheme Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its scan has fewer (one small file, say).
+
+    For work that is heavy for its bytes; tables of more files than cores are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
