@@ -32,7 +32,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies; rows of one doc_id stay or go together."""
     found = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
     stay = keep(found.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # a merge join at every size: the ids grow with the data, so they are never broadcast
+    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
