@@ -45,7 +45,7 @@ BLOCK_IDS = 1 << 16
 #: Blocks of a file, at most.
 FILE_BLOCKS = 64
 #: Entries of each generation of a worker's cache.
-CACHE = 400_000
+CACHE = 600_000
 MAGIC = b"QTB1"
 
 
@@ -128,8 +128,8 @@ class ChunkEncoder:
         if self.by_letter and not any(x in text for x in self.special) and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text)):
             parts = pieces(apart(text.lower()))
             ids = list(map(self.young.get, parts))
-            if None in ids:
-                ids = [chunk(x, True) if i is None else i for x, i in zip(parts, ids)]
+            for at in [i for i, x in enumerate(ids) if x is None]:
+                ids[at] = chunk(parts[at], True)
         else:
             parts = ["\0" + x if x else "" for x in pieces(text)]
             ids = [chunk(x[1:], False) if i is None else i for x, i in zip(parts, map(self.young.get, parts))]
