@@ -18,7 +18,7 @@ from quillspark.llm.queries import tokenizer_path
 
 #: Near copies: words of a shingle, and percent of Jaccard similarity.
 SHINGLE_WORDS, SIMILARITY = 5, 80
-#: Benchmark items of which a document has a window before it goes.
+#: Benchmark items of which a document has a window before it goes; with fewer it loses the windows.
 BENCHMARK_ITEMS = 2
 
 
@@ -36,15 +36,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with n_chars (if there) of the new texts."""
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(docs.columns)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with windows of several benchmark items."""
-    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), least_items=BENCHMARK_ITEMS)
+    """Drops documents with windows of several benchmark items, and cuts the windows of one item out of the text."""
+    out = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), least_items=BENCHMARK_ITEMS, remove="both")
+    return _counted(out, docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format."""
-    out = pii.pseudonymise(docs).drop("pii_kinds")
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(docs.columns)
+    return _counted(pii.pseudonymise(docs).drop("pii_kinds"), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

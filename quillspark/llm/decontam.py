@@ -171,16 +171,29 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_items:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_items: int = 2, remove: str = "documents", text: str = "text") -> DataFrame:
-    """Drops documents with windows of ``least_items`` items or more, or (``spans``) the hit spans from every text."""
+    """Drops documents with windows of ``least_items`` items or more, or (``spans``) the hit spans from every text.
+
+    ``both`` drops those documents and the hit spans of all others; a text whose remaining parts come
+    together as a window again is dropped too, so no window of any item is left.
+    """
+    if remove not in ("documents", "spans", "both"):
+        raise ValueError(f"remove must be 'documents', 'spans' or 'both', not {remove!r}")
     found = scan(docs, benchmark, n, text)
-    if remove == "documents":
-        return found.where(F.size("item_ids") < least_items).drop("n_words", "hit_spans", "item_ids")
     if remove != "spans":
-        raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
+        found = found.where(F.size("item_ids") < least_items)
+    if remove == "documents":
+        return found.drop("n_words", "hit_spans", "item_ids")
     body = F.encode(F.col(text), "utf-8")
     last = F.col("hit_spans")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(last, lambda s: s["end"]))
     ends = F.concat(F.transform(last, lambda s: s["start"]), F.array(F.octet_length(text).cast("long")))
     # substring counts from 1; joined before decoding, since hit spans begin and end at whole characters
     left = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.decode(F.substring(body, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "utf-8"))
-    return found.withColumn(text, F.when(F.size(last) > 0, F.array_join(left, "")).otherwise(F.col(text))).drop("n_words", "hit_spans", "item_ids")
+    cut = found.withColumn(text, F.when(F.size(last) > 0, F.array_join(left, "")).otherwise(F.col(text)))
+    added = ("n_words", "hit_spans", "item_ids")
+    if remove == "spans":
+        return cut.drop(*added)
+    # written first: a task then runs one scan, and only the cut texts are scanned again
+    cut = keep(cut, "decontam-cut")
+    again = decontaminate(cut.where(F.size(last) > 0).drop(*added), benchmark, n, 1, "documents", text)
+    return cut.where(F.size(last) == 0).drop(*added).unionByName(again)

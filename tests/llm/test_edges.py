@@ -59,6 +59,20 @@ def test_decontamination_in_blocks(spark, odd, monkeypatch):
     assert sorted(map(repr, decontam.report(odd, items).collect())) == one
 
 
+def test_pipeline_stage_leaves_no_benchmark_window(spark, tmp_path):
+    """A document with one whole item loses it; one with two items goes, and one whose rest is a window again."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    one, two = "one item of just eight words is here", "a second item with its own eight plain words to find in it"
+    spark.createDataFrame([(1, one), (2, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    inner = "a second item with " + one + " its own eight plain"
+    rows = [(1, "Before: One item of just eight words is here, after."), (2, one + " " + two), (3, "nothing of it"), (4, one), (5, None), (6, inner), (7, "a second item with " + "its own eight plain, é " + "no more")]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: ("Before: , after.", 16), 3: ("nothing of it", 13), 4: ("", 0), 5: (None, None), 7: (", é no more", 11)}
+    again = decontam.report(spark.createDataFrame([(k, t) for k, (t, _) in got.items()], "doc_id long, text string"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert [r.n_items for r in again.collect()] == [0] * 5
+
+
 def test_pseudonyms(spark, odd, none):
     got = by_id(pii.pseudonymise(odd).collect())
     assert got[1][0].text is None
