@@ -99,3 +99,17 @@ def hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = retrieval.query_vector(spark, "License, Version 2.0", 32)
     scored = vectors.select(F.col("vec_id").alias("id"), retrieval.dot("embedding", wanted).alias("s"))
     return scored.orderBy(F.round("s", 9).desc(), "id").limit(25).select("id", F.round("s", 6).alias("score"))
+
+
+@query("hash_search_whole", r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}_]+')) AS w FROM documents),
+b AS (SELECT doc_id, (('0x' || substr(md5(w), 7, 2) || substr(md5(w), 5, 2) || substr(md5(w), 3, 2) || substr(md5(w), 1, 2))::BIGINT % 32)::INT AS bucket, count(*) AS n FROM words GROUP BY ALL),
+q AS (SELECT (('0x' || substr(md5(w), 7, 2) || substr(md5(w), 5, 2) || substr(md5(w), 3, 2) || substr(md5(w), 1, 2))::BIGINT % 32)::INT AS bucket, count(*) AS m FROM (SELECT unnest(['license', 'version', '2', '0']) AS w) GROUP BY ALL),
+s AS (SELECT doc_id, sum(n * coalesce(m, 0)) / sqrt(sum(n * n)) / (SELECT sqrt(sum(m * m)) FROM q) AS score FROM b LEFT JOIN q USING (bucket) GROUP BY doc_id)
+SELECT doc_id AS id, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s USING (doc_id) ORDER BY round(coalesce(score, 0), 9) DESC, doc_id LIMIT 25""")
+def hash_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hash_search over all documents of any length; a text without words scores 0."""
+    d = spread(read_table(spark, sf_dir, "documents"))
+    wanted = F.array(*[F.lit(x) for x in retrieval.query_vector(spark, "License, Version 2.0", 32)])
+    part = retrieval.hash_embedding_rows(d, "doc_id", "text", 32).select("id", (F.col("value") * F.element_at(wanted, F.col("bucket").cast("int") + 1)).alias("s"))
+    scored = part.unionByName(d.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("s"))).groupBy("id").agg(F.sum("s").alias("s"))
+    return scored.orderBy(F.round("s", 9).desc(), "id").limit(25).select("id", F.round("s", 6).alias("score"))

@@ -167,3 +167,13 @@ def test_registry_refuses_doubles():
     assert "bm25_topk" in catalog.queries()
     with pytest.raises(ValueError, match="twice"):
         registry.query("bm25_topk")(lambda s, d: None)
+
+
+def test_hash_search_finds_long_texts(spark, tmp_path):
+    from quillspark.plans.more_queries import hash_search_whole
+
+    rows = [(1, "license version 2 0 " * 200), (2, "other words " * 100), (3, None), (4, "license")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.score for r in hash_search_whole(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert (got[1], got[3]) == (1.0, 0.0)
