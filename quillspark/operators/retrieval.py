@@ -45,6 +45,26 @@ def dense_search_many(vectors: DataFrame, queries: list[list[float]], limit: int
     return some.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
 
 
+def dense_search_blocks(vectors: DataFrame, asked: DataFrame, limit: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
+    """(query, id, score) for every row of asked, whose ids name the queries; at most ``block`` queries are in one matrix product."""
+    out, names, wanted = None, [], []
+
+    def searched() -> DataFrame:
+        ids = F.array(*[F.lit(x).cast("long") for x in names])
+        found = dense_search_many(vectors, wanted, limit, id_col, vector).withColumn("query", F.element_at(ids, F.col("query") + 1))
+        return found if out is None else out.unionByName(found)
+
+    for r in asked.where(F.col(vector).isNotNull()).select(id_col, vector).orderBy(id_col).toLocalIterator():
+        names.append(r[0])
+        wanted.append(list(r[1]))
+        if len(names) == block:
+            out = searched()
+            names, wanted = [], []
+    if names:
+        out = searched()
+    return vectors.sparkSession.createDataFrame([], "query long, id long, score double") if out is None else out
+
+
 def similarity_of(vectors: DataFrame, ids: DataFrame, query: list[float], id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, score) of given ids, whether or not they were found by vector."""
     return vectors.select(F.col(id_col).alias("id"), vector).join(ids.select("id").distinct(), "id", "left_semi").select("id", dot(vector, query).alias("score"))

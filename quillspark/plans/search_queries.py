@@ -118,6 +118,16 @@ def dense_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_search_many(vectors, asked, 10).select("query", "id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "dense_topk_hundredths",
+    "WITH q AS (SELECT vec_id AS query, [x::DOUBLE FOR x IN embedding] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id AS id, list_dot_product([x::DOUBLE FOR x IN embedding], q) AS score FROM embeddings, q) SELECT query, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10",
+)
+def dense_topk_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, in bounded blocks, against all vectors."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return retrieval.dense_search_blocks(vectors, vectors.where("vec_id % 100 = 0"), 10).select("query", "id", F.round("score", 6).alias("score"))
+
+
 @query("similarity_lookup", f"SELECT vec_id AS id, round({_DOT}, 6) AS score, CASE WHEN round({_DOT}, 6) >= 0.86 THEN 'strong' WHEN round({_DOT}, 6) >= 0.83 THEN 'medium' ELSE 'weak' END AS strength FROM embeddings WHERE label = 3")
 def similarity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.functions.text import strength

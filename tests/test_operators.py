@@ -177,3 +177,16 @@ def test_hash_search_finds_long_texts(spark, tmp_path):
     got = {r.id: r.score for r in hash_search_whole(spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3, 4}
     assert (got[1], got[3]) == (1.0, 0.0)
+
+
+def test_dense_search_takes_every_query_in_blocks(spark):
+    from quillspark.operators import retrieval
+
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(0, 700, 50)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 100 = 0")
+    got = {(r.query, r.id) for r in retrieval.dense_search_blocks(vectors, asked, 3, block=2).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(q, k) for q, v in rows if q % 100 == 0 for k, _ in sorted(rows, key=lambda r: (-dot(r[1], v), r[0]))[:3]}
+    assert got == want
+    assert retrieval.dense_search_blocks(vectors, asked.limit(0), 3).collect() == []
