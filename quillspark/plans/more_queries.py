@@ -71,6 +71,21 @@ def paginated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.paginate_blocks(blocks).select("doc_id", "page_no", F.md5("text").alias("page_md5"))
 
 
+@query("paginated_texts", """WITH RECURSIVE b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, i, length(text)::BIGINT AS size, i % 5 = 4 AS heading FROM b WHERE doc_id % 2 <> 0),
+r AS (SELECT doc_id, i, 1::BIGINT AS page_no, size AS used FROM sized WHERE i = 0
+  UNION ALL SELECT s.doc_id, s.i, r.page_no + (CASE WHEN f THEN 1 ELSE 0 END), CASE WHEN f THEN s.size ELSE r.used + s.size END
+  FROM r JOIN sized s ON s.doc_id = r.doc_id AND s.i = r.i + 1, LATERAL (SELECT r.used > 0 AND (r.used + s.size > 3000 OR s.heading AND r.used > 1500) AS f)),
+p AS (SELECT doc_id, i, text, i // 3 + 1 AS page_no FROM b WHERE doc_id % 2 = 0 UNION ALL SELECT b.doc_id, b.i, b.text, r.page_no FROM b JOIN r ON r.doc_id = b.doc_id AND r.i = b.i)
+SELECT doc_id, page_no::INT AS page_no, md5(string_agg(text, chr(10) ORDER BY i)) AS page_md5 FROM p GROUP BY doc_id, page_no""")
+def paginated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every text: with even ids by break marks, with odd ones by size and headings."""
+    d = spread(read_table(spark, sf_dir, "documents")).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    even = F.col("doc_id") % 2 == 0
+    blocks = d.withColumns({"is_heading": ~even & (F.col("i") % 5 == 4), "is_break": even & (F.col("i") % 3 == 0)})
+    return reports.paginate_blocks(blocks).select("doc_id", "page_no", F.md5("text").alias("page_md5"))
+
+
 @query("strength_labels", "SELECT event_id, CASE WHEN value >= 0.86 THEN 'strong' WHEN value >= 0.83 THEN 'medium' ELSE 'weak' END AS strength, CASE WHEN user_id < 1024 THEN user_id || ' B' END AS size, event_id || ' document' || CASE WHEN event_id = 1 THEN '' ELSE 's' END AS docs FROM events")
 def strength_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")

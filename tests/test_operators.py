@@ -190,3 +190,12 @@ def test_dense_search_takes_every_query_in_blocks(spark):
     want = {(q, k) for q, v in rows if q % 100 == 0 for k, _ in sorted(rows, key=lambda r: (-dot(r[1], v), r[0]))[:3]}
     assert got == want
     assert retrieval.dense_search_blocks(vectors, asked.limit(0), 3).collect() == []
+
+
+def test_short_texts_have_pages_too(spark, tmp_path):
+    from quillspark.plans.more_queries import paginated_texts
+
+    rows = [(1, "one line"), (2, "a\nb"), (3, "\n".join(["x" * 1400] * 3)), (4, "a\nb\nc\nd"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.page_no) for r in paginated_texts(spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2)]
