@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; the arrays made for it take some fifty times as much.
 STEP_BYTES = 1 << 20
@@ -18,12 +20,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once, whatever the size of a row."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -38,18 +34,20 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    _MADE.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark, []).append(path)
+    return path
 
 
-_MADE: list[str] = []
+#: The folders that each session has made.
+_MADE: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
 
 
 def clean_up(spark: SparkSession) -> None:
-    """Removes the tables that this process has written to the shared folder; their results must be read by then."""
+    """Removes the tables that this session has written to the shared folder; their results must be read by then."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for made in _MADE.pop(spark, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -60,6 +58,14 @@ def keep(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, names: Iterable[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with the columns of docs, in order; those that clash with ``names`` are set aside meanwhile."""
+    taken = {n.lower() for n in names}
+    aside = {c: f"__quill_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    out = work(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches so that each holds at most ``limit`` text bytes, or one row."""
     for batch in batches:

@@ -5,11 +5,14 @@ words of an item; an item of fewer words, but not none, is one window. The hashe
 are a sorted array that is sent to every executor; documents are scanned at byte level with numpy,
 and each hash hit is verified against the words of the window.
 
-The set is sent only in blocks of at most ``BLOCK_BYTES`` of item text (a check of its size): a
-larger benchmark takes several passes, each over the written result of the one before.
-
-Null text has no words, nor has an item without text. Items with the same words each count.
-Rows are kept one by one, also those with equal doc_id; other columns pass through scan().
+The set is made and sent in blocks of at most ``BLOCK_BYTES`` of item text (or one item, if that is
+longer): about four times as much in arrays. A larger benchmark has more blocks, all of which look
+at the documents in the same single pass; a worker holds one block at a time.
+
+Null text has no words, nor has an item without text. Items with the same words each count; one
+without item_id counts as an item, comes first in item_ids and is not named in digests. Rows are
+kept one by one, also those with equal doc_id. scan() replaces columns of the names that it adds;
+decontaminate() returns the columns that it got, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import flat, keep, mix, prefix_hash, runs, small_batches, span_hash, steps
+from quillspark.llm.common import flat, mix, prefix_hash, runs, shielded, span_hash, steps
 
 WINDOW = 8
-#: Item text that one pass sends to the executors.
-BLOCK_BYTES = 2 << 20
+#: Item text of one block of windows.
+BLOCK_BYTES = 16 << 20
+ADDED = ("n_words", "hit_spans", "item_ids")
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -52,108 +56,129 @@ def window_hash(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Words:
+    """The words of a column of texts: lower-cased bytes, spans, rows and hashes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.low, self.start, self.end = word_spans(data, offsets)
+        self.row = np.searchsorted(offsets, self.start, "right") - 1
+        self.hash = span_hash(prefix_hash(self.low), self.start, self.end)
+
+    def window(self, first: int, size: int) -> bytes:
+        return b" ".join(self.low[a:b].tobytes() for a, b in zip(self.start[first : first + size].tolist(), self.end[first : first + size].tolist()))
+
+
 class WindowSet:
-    """The windows of a block of items: for each length the sorted hashes, and what they stand for."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int = WINDOW):
-        found: dict[int, dict[int, dict[bytes, list]]] = {}
-        for item, text in items:
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            low, start, end = word_spans(data, np.array([0, len(data)]))
-            if not len(start):
-                continue
-            size = min(n, len(start))
-            words = [low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())]
-            for i, h in enumerate(window_hash(span_hash(prefix_hash(low), start, end), size).tolist()):
-                ids = found.setdefault(size, {}).setdefault(h, {}).setdefault(b" ".join(words[i : i + size]), [])
-                if not ids or ids[-1] != item:
-                    ids.append(item)
-        self.sizes = {k: np.array(sorted(v), np.uint64) for k, v in found.items()}
-        self.texts = found
-
-    def hits(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, list]]:
-        """(row, first word, words, item ids) of each verified window; and lastly the words of each row."""
-        low, start, end = word_spans(data, offsets)
-        row = np.searchsorted(offsets, start, "right") - 1
-        words = span_hash(prefix_hash(low), start, end)
-        self.start, self.end, self.row = start, end, row
-        for size, known in self.sizes.items():
-            if len(words) < size:
+    """The windows of a block of items.
+
+    Their words are one text with single blanks; for each length the windows are sorted by hash, and
+    each has its place in that text, its end and its item.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], n: int = WINDOW):
+        self.items = [i for i, _ in items]
+        texts = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for _, t in items]
+        offsets = np.cumsum([0, *map(len, texts)])
+        words = Words(np.concatenate(texts) if texts else np.zeros(0, np.uint8), offsets)
+        size = words.end - words.start
+        ends = np.cumsum(size + 1)  # a blank after each word
+        begins = ends - size - 1
+        text = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+        inside = np.repeat(begins - words.start, size)
+        source = np.concatenate([np.arange(a, b) for a, b in zip(words.start.tolist(), words.end.tolist())]) if len(size) else np.zeros(0, np.int64)
+        text[source + inside] = words.low[source]
+        self.text = text.tobytes()
+        counts = np.bincount(words.row, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in sorted(set(np.minimum(counts, n).tolist()) - {0}):
+            first = np.arange(len(words.hash) - k + 1)
+            own = words.row[first]
+            fits = (own == words.row[first + k - 1]) & ((counts[own] >= n) if k == n else (counts[own] == k))
+            first = first[fits]
+            h = window_hash(words.hash, k)[first]
+            order = np.lexsort((own[fits], h))
+            first = first[order]
+            self.by_size[k] = (h[order], begins[first], ends[first + k - 1] - 1, words.row[first])
+
+    def hits(self, words: Words) -> Iterator[tuple[int, int, int, list]]:
+        """(row, first word, words, item ids) of each verified window of the texts."""
+        for size, (known, begin, end, item) in self.by_size.items():
+            if len(words.hash) < size:
                 continue
-            h = window_hash(words, size)
+            h = window_hash(words.hash, size)
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            ok = (known[at] == h) & (row[: len(h)] == row[size - 1 :])
-            for i in np.flatnonzero(ok).tolist():
-                text = b" ".join(low[start[j] : end[j]].tobytes() for j in range(i, i + size))
-                if (ids := self.texts[size][int(h[i])].get(text)) is not None:
-                    yield int(row[i]), i, size, ids
+            for i in np.flatnonzero((known[at] == h) & (words.row[: len(h)] == words.row[size - 1 :])).tolist():
+                text = words.window(i, size)
+                left, right = int(at[i]), int(np.searchsorted(known, h[i], "right"))
+                found = [self.items[item[j]] for j in range(left, right) if self.text[begin[j] : end[j]] == text]
+                if found:
+                    yield int(words.row[i]), i, size, found
 
 
 def _blocks(benchmark: DataFrame, n: int) -> Iterator[WindowSet]:
-    """The items as sets of at most BLOCK_BYTES of text (a single longer item is a block alone)."""
+    """The items as sets of at most BLOCK_BYTES of text; the driver holds one at a time."""
     items, size = [], 0
-    for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if items and size + len(r.text) > BLOCK_BYTES:
+    for r in benchmark.where("text is not null").select("item_id", "text", F.octet_length("text").alias("_bytes")).toLocalIterator():
+        if items and size + r["_bytes"] > BLOCK_BYTES:
             yield WindowSet(items, n)
             items, size = [], 0
-        items.append((r.item_id, r.text))
-        size += 2 * len(r.text)
+        items.append((r["item_id"], r["text"]))
+        size += r["_bytes"]
     yield WindowSet(items, n)
 
 
+def _ordered(ids: set) -> list:
+    return sorted(ids, key=lambda x: (x is not None, x if x is not None else 0))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text") -> DataFrame:
     """docs with n_words, hit_spans (maximal runs of hit words) and item_ids (sorted, distinct).
 
     hit_spans has (start, end, first, words): byte offsets in the UTF-8 text, the index of the first
     hit word and the number of hit words.
     """
-    spark = docs.sparkSession
-    own = {"n_words", "hit_spans", "item_ids"}
-    found = docs.select(*[c for c in docs.columns if c not in own])
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, n)]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     item = benchmark.schema["item_id"].dataType
-    for k, block in enumerate(_blocks(benchmark, n)):
-        small_batches(spark)
-        found = _pass(keep(found, "decontam") if k else found, spark.sparkContext.broadcast(block), item, text)
-    return found
-
-
-def _pass(docs: DataFrame, block, item: T.DataType, text: str) -> DataFrame:
-    """One block's hits, added to those of earlier passes if docs has any."""
-    more = "hit_spans" in docs.columns
     long = T.LongType()
     span = T.StructType([T.StructField(c, long) for c in ("start", "end", "first", "words")])
     added = [T.StructField("n_words", long), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("item_ids", T.ArrayType(item))]
-    out = docs.schema if more else T.StructType([*docs.schema.fields, *added])
-    names = out.names
     spans_type = pa.list_(pa.struct([(c, pa.int64()) for c in span.names]))
     items_type = pa.list_(pa.int64() if isinstance(item, T.LongType) else pa.int32() if isinstance(item, T.IntegerType) else pa.string())
 
+    def mark(known: WindowSet, words: Words, seen: list[set], marks: list[tuple[int, int]]) -> None:
+        for row, i, size, ids in known.hits(words):
+            seen[row].update(ids)
+            marks.append((i, size))
+
+    def done(part: pa.RecordBatch, words: Words, offsets: np.ndarray, seen: list[set], marks: list[tuple[int, int]]) -> pa.RecordBatch:
+        first_word = np.searchsorted(words.start, offsets)
+        hit = np.zeros(len(words.start) + 1, np.int64)
+        for i, size in marks:
+            hit[i] += 1
+            hit[i + size] -= 1
+        spans: list[list] = [[] for _ in range(part.num_rows)]
+        for i, j in zip(*(x.tolist() for x in runs(np.cumsum(hit[:-1]) > 0, first_word))):
+            r = int(words.row[i])
+            spans[r].append({"start": int(words.start[i] - offsets[r]), "end": int(words.end[j - 1] - offsets[r]), "first": i - int(first_word[r]), "words": j - i})
+        new = [pa.array(np.diff(first_word), pa.int64()), pa.array(spans, spans_type), pa.array([_ordered(s) for s in seen], items_type)]
+        return pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *ADDED])
+
     def run(batches):
-        known = block.value
-        for batch in steps(batches, text):
-            data, offsets = flat(batch.column(text))
-            rows = batch.num_rows
-            seen = [set(x) for x in batch.column("item_ids").to_pylist()] if more else [set() for _ in range(rows)]
-            marks = []
-            for r, i, size, ids in known.hits(data, offsets):
-                seen[r].update(ids)
-                marks.append((i, size))
-            first_word = np.searchsorted(known.start, offsets)
-            if more:
-                marks += [(int(first_word[r]) + s["first"], s["words"]) for r, x in enumerate(batch.column("hit_spans").to_pylist()) for s in x]
-            hit = np.zeros(len(known.start) + 1, np.int64)
-            for i, size in marks:
-                hit[i] += 1
-                hit[i + size] -= 1
-            spans: list[list] = [[] for _ in range(rows)]
-            for i, j in zip(*(x.tolist() for x in runs(np.cumsum(hit[:-1]) > 0, first_word))):
-                r = int(known.row[i])
-                spans[r].append({"start": int(known.start[i] - offsets[r]), "end": int(known.end[j - 1] - offsets[r]), "first": i - int(first_word[r]), "words": j - i})
-            columns = dict(zip(batch.schema.names, batch.columns))
-            columns |= {"n_words": pa.array(np.diff(first_word), pa.int64()), "hit_spans": pa.array(spans, spans_type), "item_ids": pa.array([sorted(s) for s in seen], items_type)}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
-
-    return docs.mapInArrow(run, out)
+        for batch in batches:
+            parts = [(p, [set() for _ in range(p.num_rows)], []) for p in steps([batch], text)]
+            for block in blocks if len(blocks) > 1 else ():
+                for part, seen, marks in parts:
+                    mark(block.value, Words(*flat(part.column(text))), seen, marks)
+                block.__dict__.pop("_value", None)  # the next block takes its place in memory
+            for part, seen, marks in parts:
+                data, offsets = flat(part.column(text))
+                words = Words(data, offsets)
+                if len(blocks) == 1:
+                    mark(blocks[0].value, words, seen, marks)
+                yield done(part, words, offsets, seen, marks)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_items: int = 2) -> DataFrame:
@@ -171,29 +196,22 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_items:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least_items: int = 2, remove: str = "documents", text: str = "text") -> DataFrame:
-    """Drops documents with windows of ``least_items`` items or more, or (``spans``) the hit spans from every text.
+    """Drops documents with windows of ``least_items`` items or more, or (``spans``) cuts the hit spans out of every text.
 
-    ``both`` drops those documents and the hit spans of all others; a text whose remaining parts come
-    together as a window again is dropped too, so no window of any item is left.
+    Cutting brings the words around a span together; what they form is not looked at again.
     """
-    if remove not in ("documents", "spans", "both"):
-        raise ValueError(f"remove must be 'documents', 'spans' or 'both', not {remove!r}")
-    found = scan(docs, benchmark, n, text)
-    if remove != "spans":
-        found = found.where(F.size("item_ids") < least_items)
-    if remove == "documents":
-        return found.drop("n_words", "hit_spans", "item_ids")
-    body = F.encode(F.col(text), "utf-8")
-    last = F.col("hit_spans")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(last, lambda s: s["end"]))
-    ends = F.concat(F.transform(last, lambda s: s["start"]), F.array(F.octet_length(text).cast("long")))
-    # substring counts from 1; joined before decoding, since hit spans begin and end at whole characters
-    left = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.decode(F.substring(body, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "utf-8"))
-    cut = found.withColumn(text, F.when(F.size(last) > 0, F.array_join(left, "")).otherwise(F.col(text)))
-    added = ("n_words", "hit_spans", "item_ids")
-    if remove == "spans":
-        return cut.drop(*added)
-    # written first: a task then runs one scan, and only the cut texts are scanned again
-    cut = keep(cut, "decontam-cut")
-    again = decontaminate(cut.where(F.size(last) > 0).drop(*added), benchmark, n, 1, "documents", text)
-    return cut.where(F.size(last) == 0).drop(*added).unionByName(again)
+    if remove not in ("documents", "spans"):
+        raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
+
+    def work(docs: DataFrame) -> DataFrame:
+        found = scan(docs, benchmark, n, text)
+        if remove == "documents":
+            return found.where(F.size("item_ids") < least_items)
+        body, hits = F.encode(F.col(text), "utf-8"), F.col("hit_spans")
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(hits, lambda s: s["end"]))
+        ends = F.concat(F.transform(hits, lambda s: s["start"]), F.array(F.octet_length(text).cast("long")))
+        # substring counts from 1; hit spans begin and end at whole characters
+        left = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.decode(F.substring(body, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "utf-8"))
+        return found.withColumn(text, F.when(F.size(hits) > 0, F.array_join(left, "")).otherwise(F.col(text)))
+
+    return shielded(docs, [c for c in ADDED if c != text], work)
