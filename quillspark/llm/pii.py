@@ -7,16 +7,23 @@ document, different ones stay different, and the holder of the key can undo it (
 The permutations are Feistel networks of ``ROUNDS`` rounds with SHA-256 as round function:
 
 * numbers: two parts in Z_m x Z_n, each in turn shifted by a hash of the other (IPv4 addresses on
-  65536 x 65536, North American phone numbers on 800 x 8,000,000, dates on 189 x 773, the 146,097
-  days from 1800-01-01 to 2199-12-31);
+  65536 x 65536; phone numbers on the rectangle of area codes and numbers that they are in, see
+  ``PHONES``; dates on 189 x 773, the 146,097 days from 1800-01-01 to 2199-12-31);
 * strings: two halves, each character shifted within its own class (a-z, A-Z, 0-9) by a hash of
   the other half (cards without their first digit and with a new check digit, social security
-  numbers, e-mail addresses without their top-level domain, access keys and hexadecimal tokens,
-  whose letters stay hexadecimal).
+  numbers, e-mail addresses without their top-level domain, access keys and hexadecimal tokens of
+  one case, whose letters stay hexadecimal).
 
-Separators and all other text stay as they are. Values that fail validation are left alone, except
-phone numbers with an impossible area code, which are permuted among ten-digit strings. Null text
-stays null. Rows are handled one by one; other columns pass through.
+A date with slashes is day/month/year if it can be; month/day/year dates, whose day is then above
+12, are permuted among themselves (9 x 9833 of them). So every format is a domain of its own that
+its permutation does not leave, and all are undone exactly.
+
+Separators and all other text stay as they are. Values that fail validation are left alone: octets
+above 255, impossible or far dates, wrong check digits, e-mail local parts of over 64 characters or
+domains of over 126 labels. All patterns are bounded, so long texts of any shape take linear time and
+constant stack. Null text stays null. Rows are handled one by one; other columns pass through.
+
+There is no default key: it is an argument, or ``spark.quillspark.pii.key`` of the session.
 """
 
 from __future__ import annotations
@@ -27,19 +34,25 @@ from pyspark.sql import functions as F
 from quillspark.llm.quality import let
 
 ROUNDS = 8
-#: For tests and demonstrations; production sets spark.quillspark.pii.key.
-DEFAULT_KEY = "quillspark-demonstration-key"
+#: Published with the source, so it protects nothing: for tests and the registered queries only.
+DEMONSTRATION_KEY = "quillspark-demonstration-key"
+KEY_SETTING = "spark.quillspark.pii.key"
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Of the same 400 years: the days of a month after its twelfth.
+LATE_DAYS = (9, 9833)
+#: Rectangles that together are all ten-digit numbers: first area code and number, and how many of each.
+#: The first is that of possible numbers, so possible ones stay possible.
+PHONES = {"phone": (200, 2_000_000, 800, 8_000_000), "phone-low": (200, 0, 800, 2_000_000), "phone-area": (0, 0, 200, 10_000_000)}
 
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "phone": r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?![\w-]|\.\d)",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]|[./]\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"\d(?:[ -]?\d){12,18}(?![\w-])",
-    "secret": r"(?:AKIA[A-Z0-9]{16}|(?=[0-9a-f]*[0-9])[0-9a-f]{32,128})(?!\w)",
+    "secret": r"(?:AKIA[A-Z0-9]{16}|(?=[a-f]{0,127}[0-9])[0-9a-f]{32,128}|(?=[A-F]{0,127}[0-9])[0-9A-F]{32,128})(?!\w)",
 }
 #: A value begins where no other word, number or address goes on.
 BEFORE = r"(?<![\w.%+@-])(?=[A-Za-z0-9(+._%-])"
@@ -74,7 +87,7 @@ def permute_pair(left: Column, right: Column, m: int, n: int, domain: str, key:
 def permute_text(text: Column, domain: str, key: str, reverse: bool = False, letters: int = 26) -> Column:
     """A keyed permutation of all strings with the same character classes at the same places.
 
-    letters: of the alphabet that lower-case letters are shifted in (6: hexadecimal digits).
+    letters: of the alphabet that letters are shifted in (6: hexadecimal digits).
     """
     sign = -1 if reverse else 1
 
@@ -82,7 +95,7 @@ def permute_text(text: Column, domain: str, key: str, reverse: bool = False, let
         def one(c: Column, place: Column) -> Column:
             code = F.ascii(c)
             by = lambda base, size: F.chr((F.pmod(code - base + sign * (_hash(key, F.lit(domain), i, place, other) % size), F.lit(size).cast("long")) + base).cast("long"))
-            return F.when(c.between("0", "9"), by(48, 10)).when(c.between("a", "z"), by(97, letters)).when(c.between("A", "Z"), by(65, 26)).otherwise(c)
+            return F.when(c.between("0", "9"), by(48, 10)).when(c.between("a", "z"), by(97, letters)).when(c.between("A", "Z"), by(65, letters)).otherwise(c)
 
         chars = F.filter(F.split(part, ""), lambda c: c != "")
         return F.array_join(F.transform(chars, one), "")
@@ -133,9 +146,15 @@ def _phone(x: Column, key: str, reverse: bool) -> Column:
     def number(d: Column) -> Column:
         tail = F.substring(d, F.length(d) - 9, F.lit(10))
         area, rest = F.substring(tail, 1, 3).cast("long"), F.substring(tail, 4, 7).cast("long")
-        possible = (area >= 200) & (rest >= 2_000_000)
-        join = lambda p, a, b: F.concat(F.lpad((p["l"] + a).cast("string"), 3, "0"), F.lpad((p["r"] + b).cast("string"), 7, "0"))
-        new = F.when(possible, let(permute_pair(area - 200, rest - 2_000_000, 800, 8_000_000, "phone", key, reverse), lambda p: join(p, 200, 2_000_000))).otherwise(permute_text(tail, "phone10", key, reverse))
+
+        def within(domain: str, first: int, least: int, m: int, n: int) -> Column:
+            pair = permute_pair(area - first, rest - least, m, n, domain, key, reverse)
+            return let(pair, lambda p: F.concat(F.lpad((p["l"] + first).cast("string"), 3, "0"), F.lpad((p["r"] + least).cast("string"), 7, "0")))
+
+        new = None
+        for domain, (first, least, m, n) in PHONES.items():
+            inside = (area >= first) & (rest >= least)
+            new = (F if new is None else new).when(inside, within(domain, first, least, m, n))
         return F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new)
 
     return let(_digits(x), lambda d: _in_place(x, number(d)))
@@ -151,14 +170,45 @@ def _ip(x: Column, key: str, reverse: bool) -> Column:
     return let(F.split(x, r"\."), number)
 
 
+def _day_number(x: Column, form: str) -> Column:
+    return F.datediff(F.try_to_timestamp(x, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+
+
+def _day(number: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int"))
+
+
+def _late_first(month: Column) -> Column:
+    """The number, among the days after a twelfth, of the 13th of a month (counted from the first month)."""
+    return F.datediff(F.add_months(F.lit(FIRST_DAY).cast("date"), month.cast("int")), F.lit(FIRST_DAY).cast("date")) - 12 * month
+
+
+def _late_day(number: Column) -> Column:
+    """The day-number of the number-th day after a twelfth; the inverse of day - 12 * (months + 1)."""
+    guess = (number * 4800 / (LATE_DAYS[0] * LATE_DAYS[1])).cast("long")
+    near = F.sequence(F.greatest(guess - 2, F.lit(0).cast("long")), F.least(guess + 2, F.lit(4799).cast("long")))
+    month = F.array_max(F.filter(near, lambda m: _late_first(m) <= number))
+    return let(month, lambda m: number + 12 * (m + 1))
+
+
 def _date(x: Column, key: str, reverse: bool) -> Column:
+    m, n = DAYS
+
     def moved(form: str) -> Column:
-        day = F.datediff(F.try_to_timestamp(x, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        m, n = DAYS
-        new = lambda d: let(permute_pair((d / n).cast("long"), d % n, m, n, "date", key, reverse), lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * n + p["r"]).cast("int")), form))
-        return let(day, lambda d: F.when((d >= 0) & (d < m * n), new(d)))
+        new = lambda d: let(permute_pair((d / n).cast("long"), d % n, m, n, "date", key, reverse), lambda p: F.date_format(_day(p["l"] * n + p["r"]), form))
+        return let(_day_number(x, form), lambda d: F.when((d >= 0) & (d < m * n), new(d)))
+
+    def late(d: Column) -> Column:
+        """d: the day-number of a date after the twelfth of its month."""
+        i, j = LATE_DAYS
+        months = (F.year(_day(d)) - F.lit(FIRST_DAY[:4]).cast("int")) * 12 + F.month(_day(d)) - 1
+        pair = let(d - 12 * (months + 1), lambda r: permute_pair((r / j).cast("long"), r % j, i, j, "late-date", key, reverse))
+        return let(pair, lambda p: F.date_format(_day(_late_day(p["l"] * j + p["r"])), "MM/dd/yyyy"))
 
-    return F.when(F.substring(x, 5, 1) == "-", moved("yyyy-MM-dd")).when(F.substring(x, 3, 1) == "/", F.coalesce(moved("dd/MM/yyyy"), moved("MM/dd/yyyy"))).otherwise(moved("dd.MM.yyyy"))
+    month_first = let(_day_number(x, "MM/dd/yyyy"), lambda d: F.when((d >= 0) & (d < m * n), late(d)))
+    # what is a date either way is day/month/year, also if it lies outside the range
+    slashes = F.when(F.try_to_timestamp(x, F.lit("dd/MM/yyyy")).isNotNull(), moved("dd/MM/yyyy")).otherwise(month_first)
+    return F.when(F.substring(x, 5, 1) == "-", moved("yyyy-MM-dd")).when(F.substring(x, 3, 1) == "/", slashes).otherwise(moved("dd.MM.yyyy"))
 
 
 def _email(x: Column, key: str, reverse: bool) -> Column:
@@ -190,7 +240,9 @@ def _pseudonym(x: Column, key: str, reverse: bool) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", reverse: bool = False) -> DataFrame:
     """docs with pseudonyms in their texts and ``pii_kinds``, the kinds of the replaced values in order."""
-    key = key or docs.sparkSession.conf.get("spark.quillspark.pii.key", DEFAULT_KEY)
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"no key: give one, or set {KEY_SETTING}")
     body = F.col(text)
     found = F.when(F.rlike(body, F.lit(HINT)), F.regexp_extract_all(body, F.lit(FINDER), F.lit(0)))
     out = docs.drop("pii_kinds").withColumn("__quill_found", found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's key; without one these queries take the published key, which protects nothing, and say so."""
+    key = spark.conf.get(pii.KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{pii.KEY_SETTING} is not set: pseudonyms are made with a published key", stacklevel=2)
+    return key or pii.DEMONSTRATION_KEY
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(read(spark, sf_dir, "documents"))
+    return pii.report(read(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
