@@ -6,8 +6,9 @@ same document or another. Suffixes never reach beyond their document.
 Which suffixes can share their first ``length`` bytes is narrowed first, without loss: every string
 of that length is filed under the smallest hash among its ``ANCHOR``-byte substrings (its anchor),
 so equal strings have equal anchors at equal offsets, and a suffix whose anchor occurs once in the
-corpus is settled. Documents are dealt into buckets; a bucket tells each anchor once, however many
-copies it holds, in packed arrays, and gets back those that others have too.
+corpus is settled. Documents are dealt into buckets of bounded text, whose number follows the bytes
+of the corpus; a bucket tells each anchor once, however many copies it holds, in packed arrays, and
+gets back those that others have too.
 
 The rest are sorted, one block of suffix buckets (all suffixes with the same anchor) at a time. In
 a block the ranks of a difference cover sample (the positions whose remainder modulo 7 is 0, 1 or
@@ -20,6 +21,10 @@ Anchors with more than ``HOT`` different contexts would make one bucket large. T
 told apart by 128-bit names of their first ``length`` bytes instead, which spread over all tasks;
 equal ones are told once for each bucket of documents.
 
+Contexts are merged and sorted by their bytes. Answers go back to a bucket under the 64-bit name of
+a context (or of a hot suffix's two names), so a context of the same bucket with the same name by
+chance, 1e-8 for a bucket of 32 MB, would lose bytes that occur once; no repeat is ever missed.
+
 Null text is empty. Rows are handled one by one, also those with equal or null doc_id (equal rows
 repeat each other). Texts below ``length`` bytes lose nothing.
 """
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import flat, mix, prefix_hash, shuffle_parts, small_batches, span_hash
+from quillspark.llm.common import flat, mix, prefix_hash, shuffle_parts, span_hash
 
 LENGTH = 200
 ANCHOR = 72
@@ -41,6 +46,8 @@ ANCHOR = 72
 HOT = 1024
 #: Bytes that one vectorised step looks at, and bytes of the texts of one sorted block.
 STEP, SORT_BLOCK = 1 << 19, 1 << 18
+#: Text of a bucket of documents, and text whose anchors and contexts come together in a shard; a task has one of each in memory at a time.
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 64 << 20
 _PLACE_BITS = np.uint64(22)
 #: The difference cover modulo 7: each remainder is a difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -140,7 +147,7 @@ def _shards(name: np.ndarray, n: int) -> np.ndarray:
 
 
 def _told(table: pa.Table, length: int, shards: int) -> list[tuple]:
-    """Each anchor of a bucket once: (shard, names, occurrences up to 2 and contexts up to 63 as a byte)."""
+    """Each anchor of a bucket once: (shard, names, occurrences up to 2 and contexts up to HOT + 1 as a number)."""
     names, contexts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for data, offsets, _ in pieces(table.column("text").combine_chunks(), length):
         step = Step(data, offsets, length)
@@ -156,7 +163,7 @@ def _told(table: pa.Table, length: int, shards: int) -> list[tuple]:
     count = np.diff(np.r_[first, len(names)])
     kinds = np.add.reduceat(fresh.astype(np.int64), first)
     names = names[first]
-    note = (np.minimum(count, 2) | np.minimum(kinds, 63) << 2).astype(np.uint8)
+    note = (np.minimum(count, 2) | np.minimum(kinds, HOT + 1) << 2).astype(np.uint16)
     shard = _shards(names, shards)
     return [(s, names[i].tobytes(), note[i].tobytes()) for s, i in _cut(np.argsort(shard, kind="stable"), shard)]
 
@@ -164,7 +171,7 @@ def _told(table: pa.Table, length: int, shards: int) -> list[tuple]:
 def _shared(table: pa.Table) -> list[tuple]:
     """For each bucket the anchors that occur twice or more in all, and which of them are hot."""
     names, row = _unpack(table, "names", np.uint64)
-    note, _ = _unpack(table, "notes", np.uint8)
+    note, _ = _unpack(table, "notes", np.uint16)
     bucket = table.column("bucket").to_numpy()[row]
     order = np.argsort(names, kind="stable")
     sorted_names = names[order]
@@ -192,7 +199,7 @@ def _contexts(docs: pa.Table, known: pa.Table, length: int, shards: int) -> list
     """The contexts of a bucket's shared anchors, each once: (shard, packed contexts, packed window names)."""
     names, order = _lookup(known, "names")
     hot = _unpack(known, "hot", np.uint8)[0][order].astype(bool)
-    found: dict[int, list] = {}
+    found: dict[int, dict[bytes, int]] = {}
     cold: dict[int, list] = {}
     window_a, window_b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for data, offsets, _ in pieces(docs.column("text").combine_chunks(), length) if len(names) else ():
@@ -206,17 +213,19 @@ def _contexts(docs: pa.Table, known: pa.Table, length: int, shards: int) -> list
             window_b.append(b)
         for i in np.flatnonzero(is_known & ~is_hot).tolist():
             key = int(step.context[i])
-            if key in found:
-                found[key][0] = 2
-                continue
             low, high = int(step.low[i]), int(step.high[i])
-            found[key] = [1]
-            cold.setdefault(int(step.name[i]), []).append((key, int(step.place[i]) - low, high - low + 1, data[low : high + length].tobytes()))
+            text = data[low : high + length].tobytes()
+            same = found.setdefault(key, {})
+            if text in same:
+                same[text] = 2
+                continue
+            same[text] = 1
+            cold.setdefault(int(step.name[i]), []).append((key, int(step.place[i]) - low, high - low + 1, text))
     out: dict[int, list] = {}
     cold_names = sorted(cold)
     for name, shard in zip(cold_names, _shards(np.array(cold_names, np.uint64), shards).tolist()):
         for key, offset, count, text in cold[name]:
-            out.setdefault(shard, []).append(np.array([name, key], "<u8").tobytes() + bytes([offset, count, found[key][0]]) + len(text).to_bytes(4, "little") + text)
+            out.setdefault(shard, []).append(np.array([name, key], "<u8").tobytes() + bytes([offset, count, found[key][text]]) + len(text).to_bytes(4, "little") + text)
     a, b = np.concatenate(window_a), np.concatenate(window_b)
     order = np.lexsort((a, b))
     a, b = a[order], b[order]
@@ -425,10 +434,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < ANCHOR + 16 or length - ANCHOR + 1 > 255:
         raise ValueError(f"length must be {ANCHOR + 16} to {ANCHOR + 254}")
     spark = docs.sparkSession
-    small_batches(spark)
-    shards = shuffle_parts(spark)
-    buckets = 2 * shards
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long").alias("bucket"), F.col("doc_id").cast("long"), "text")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(shuffle_parts(spark), -(-n_bytes // SHARD_BYTES))
+    buckets = max(2 * shuffle_parts(spark), -(-n_bytes // BUCKET_BYTES))
+    # the text takes part, so that rows without doc_id, or with one for many, spread
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long").alias("bucket"), F.col("doc_id").cast("long"), "text")
 
     def tell(key, table):
         return _table(_told(table, length, shards), ("shard", "names", "notes"), key[0].as_py())
