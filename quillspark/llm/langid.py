@@ -6,63 +6,59 @@ frequent n-grams, at most ``PROFILE``; its distance to a language sums how far e
 of place there, an n-gram that the profile lacks counting as ``PROFILE``. Ties in frequency are
 broken by the n-gram's code, ties in distance by the language's name.
 
-Letters are folded to lower case; 125 classes keep the letters of Latin alphabets apart, other
-letters share the rest by code point. Only the text is looked at. A text that is null or has no
-letter is ``und`` with score 0. The score of any other is 1 minus the ratio of its distance to the
-largest possible one.
+An n-gram is that of lower-case code points, packed into 64 bits, so none are confused whatever
+their script. Letters and combining marks make words, all else is a blank. Only the text is looked
+at. A text that is null or has no letter is ``und`` with score 0, as is any if nothing was learned.
+The score of any other is 1 minus the ratio of its distance to the largest possible one.
+
+The profiles, some 6 KB a language, go to the driver and to every worker, as sorted arrays; the
+number of languages is not limited. Rows of equal doc_id are predicted one by one; learn() of an
+empty table is no language, predict() of one is empty. predict() replaces the columns that it adds.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, steps
+from quillspark.llm.common import steps
 
 PROFILE = 400
 UNKNOWN = "und"
-#: Languages of the training data, at most; a label column with more values is not one of languages.
-MAX_LANGUAGES = 1000
-_CLASSES = 128
-_TABLE: list[np.ndarray] = []
-
-
-def letter_classes() -> np.ndarray:
-    """For each code point 0 (no letter) or the class 1 to 127 of its lower-case letter."""
-    if not _TABLE:
-        table = np.zeros(0x110000, np.int32)
-        for c in range(0x110000):
-            if (x := chr(c)).isalpha():
-                low = ord(x.lower()[0])
-                if 97 <= low <= 122:
-                    table[c] = low - 96
-                elif 0xDF <= low <= 0x17F:
-                    table[c] = 27 + (low - 0xDF) % 89
-                else:
-                    table[c] = 116 + low % 12
-        _TABLE.append(table)
-    return _TABLE[0]
+#: A code point takes 21 bits; the first number beyond them stands for a blank.
+_BITS, _BLANK = np.int64(21), np.int64(0x110000)
+#: Different n-grams of all languages that a task counts before it hands them on.
+_HELD = 1 << 20
+_KINDS: list[np.ndarray] = []
+
+
+def letter_kinds() -> np.ndarray:
+    """For each code point 2 (a letter), 1 (a combining mark) or 0."""
+    if not _KINDS:
+        _KINDS.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8))
+    return _KINDS[0]
 
 
 def grams(text: str) -> np.ndarray:
     """Codes of all 1-, 2- and 3-grams of a text's words, padded by blanks; empty if it has no letter."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = letter_classes()[points]
-    letter = cls > 0
-    if not letter.any():
-        return np.zeros(0, np.int32)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # one blank for each run of other characters
-    x = np.concatenate([[0], cls[keep], [0]]).astype(np.int32)
-    two = x[:-1] * _CLASSES + x[1:]
-    three = two[:-1] * _CLASSES + x[2:]
-    one = x[x > 0]
-    two = two[two > 0] + _CLASSES
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = letter_kinds()[points]
+    if not (kind == 2).any():
+        return np.zeros(0, np.int64)
+    inside = kind > 0
+    shown = inside.copy()
+    shown[1:] |= inside[:-1]  # one blank for each run of other characters
+    x = np.where(inside, points, _BLANK)[shown].astype(np.int64)
+    x = np.concatenate([[_BLANK], x, [_BLANK]])
+    two = x[:-1] << _BITS | x[1:]
+    three = two[:-1] << _BITS | x[2:]
+    word = x != _BLANK
     # a 3-gram across two words says nothing about either
-    three = three[(x[1:-1] > 0)] + (_CLASSES + _CLASSES**2)
-    return np.concatenate([one, two, three])
+    return np.concatenate([x[word], two[word[:-1] | word[1:]], three[word[1:-1]]])
 
 
 def ranked(codes: np.ndarray, size: int = PROFILE) -> np.ndarray:
@@ -75,66 +71,81 @@ def ranked(codes: np.ndarray, size: int = PROFILE) -> np.ndarray:
 
 
 class Profiles:
-    """The profiles of the learned languages, as ranks by n-gram code."""
+    """The profiles of the learned languages: all their n-grams, sorted, with language and rank."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE):
         self.size = size
         self.langs = sorted(profiles)
-        self.ranks = np.full((len(self.langs), _CLASSES + _CLASSES**2 + _CLASSES**3), size, np.int16)
-        for i, lang in enumerate(self.langs):
-            self.ranks[i, profiles[lang]] = np.arange(len(profiles[lang]))
+        sizes = [len(profiles[x]) for x in self.langs]
+        code = np.array([c for x in self.langs for c in profiles[x]], np.int64)
+        order = np.argsort(code, kind="stable")
+        self.code = code[order]
+        self.lang = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.rank = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, np.int64)])[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         codes = ranked(grams(text), self.size) if text else ()
         if not len(codes) or not self.langs:
             return UNKNOWN, 0.0
-        theirs = self.ranks[:, codes].astype(np.int64)
-        away = np.where(theirs == self.size, self.size, np.abs(theirs - np.arange(len(codes)))).sum(axis=1)
-        best = int(np.argmin(away))
-        return self.langs[best], float(1 - away[best] / (self.size * len(codes)))
+        left = np.searchsorted(self.code, codes)
+        count = np.searchsorted(self.code, codes, "right") - left
+        place = np.repeat(np.arange(len(codes)), count)
+        found = np.repeat(left - np.cumsum(count) + count, count) + np.arange(len(place))
+        # what a shared n-gram saves against one that the profile lacks
+        saved = np.bincount(self.lang[found], self.size - np.abs(self.rank[found] - place), len(self.langs))
+        best = int(np.argmax(saved))
+        return self.langs[best], float(saved[best] / (self.size * len(codes)))
 
 
-def learn(labelled: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles from all rows of (text, lang) with both; counts are summed per task, then by Spark."""
-    small_batches(labelled.sparkSession)
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    values, inverse = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return values, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(values)).astype(np.int64)
+
+
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often each n-gram occurs in all texts of a language."""
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in steps(batches):
             parts: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 parts.setdefault(lang, []).append(grams(text))
             for lang, x in parts.items():
-                values, counts = np.unique(np.concatenate(x), return_counts=True)
-                if lang not in total:
-                    total[lang] = np.zeros(_CLASSES + _CLASSES**2 + _CLASSES**3, np.int64)
-                total[lang][values] += counts
-                if len(total) > 16:  # many languages in one task: hand on what there is
-                    yield from rows(total)
-                    total = {}
+                new = np.unique(np.concatenate(x), return_counts=True)
+                total[lang] = _summed([total[lang], new]) if lang in total else new
+            if sum(len(v) for v, _ in total.values()) > _HELD:
+                yield from rows(total)
+                total = {}
         yield from rows(total)
 
     def rows(total):
-        for lang, counts in total.items():
-            codes = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(counts[codes], pa.int64())], names=["lang", "gram", "n"])
+        for lang, (codes, counts) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
     known = labelled.select("text", "lang").where("text is not null and lang is not null")
-    counts = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the largest `size` of each language, merged as bounded arrays instead of sorting a language in one task
-    shards = counts.withColumn("_shard", F.col("gram") % 32).groupBy("lang", "_shard").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, size).alias("top"))
-    top = shards.groupBy("lang").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, size).alias("top"))
-    found = top.select("lang", F.transform("top", lambda x: x["gram"]).alias("grams")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} values of lang")
-    return {r.lang: list(r.grams) for r in found}
+    return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def learn(labelled: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
+    """Profiles from all rows of (text, lang) with both; counts are summed per task, then by Spark.
+
+    The top of a language is taken in two levels of limited windows, so that no task sorts a whole
+    language and none holds one in memory.
+    """
+    order = (F.desc("n"), F.asc("gram"))
+    counts = gram_counts(labelled).withColumn("_shard", F.pmod(F.xxhash64("gram"), F.lit(64)))
+    for keys in (("lang", "_shard"), ("lang",)):
+        counts = counts.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_at") <= size)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.select("lang", "gram", "_at").collect():
+        found.setdefault(r["lang"], []).append((r["_at"], r["gram"]))
+    return {lang: [gram for _, gram in sorted(x)] for lang, x in found.items()}
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE) -> DataFrame:
     """docs with lang_pred and score, replacing columns of those names."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(profiles)
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     made: list[Profiles] = []
