@@ -3,27 +3,33 @@
 A file is a sequence of blocks, each of which can be decoded alone. All integers are
 little-endian. A block is
 
-    magic b"QTB1", uint32 size of the rest up to the final newline, uint32 documents, uint32 ids,
-    uint32 checkpoints, uint32 bits, uint64 code book fingerprint,
-    int64 doc_id and uint8 "has an id" of each document, uint32 ids of each document,
-    uint32 bit offset of every ``STRIDE``-th id (the checkpoints), the bits, b"\\n"
+    magic b"QTB2", then uint64: size of the rest up to the final newline, documents, ids,
+    checkpoints, bits, code book fingerprint;
+    int64 doc_id and uint8 "has an id" of each document, uint64 ids of each document,
+    uint64 bit offset of every ``STRIDE``-th id (the checkpoints), the bits, b"\\n"
 
-Codes have at most ``LIMIT`` bits (package-merge over the counts of all documents), so one table
-of 2**LIMIT entries decodes any id; decoding runs from all checkpoints of a block at once. The code
-book is its list of code lengths by id, written beside the files as ``codebook``.
+Codes have at most ``LIMIT`` bits (package-merge over the counts of all documents), or as many as
+the ids in use need, if that is more; so one table of 2**LIMIT entries decodes any id, and decoding
+runs from all checkpoints of a block at once. The code book is its list of code lengths by id,
+written beside the files as ``codebook``.
 
 Files are sorted by doc_id (null first, then equal ids by their tokens); a document never spans
-blocks. Spark's text writer writes them, one block a line, so any file system will do.
+blocks. Spark's text writer writes them, one block a line, so any file system will do. Where a file
+begins in the whole sequence is a sum over the tables of its writing task and of the tasks before,
+joined to the files; neither goes through the driver.
 
 The tokenizer is that of the tokenizers library; text is cut at spaces and line ends, each distinct chunk is
 encoded once and kept in a bounded cache. That needs a tokenizer whose pre-tokenizer never joins
-text across them and ignores them: the loader tries that. Null text is empty: only the end id.
+text across them and ignores them: the loader tries that with ``TRIALS`` random texts of awkward
+characters, for each of the short cuts, and leaves out those that are not exact. Null text is
+empty: only the end id.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import random
 import struct
 import unicodedata
 import zlib
@@ -32,13 +38,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import byte_alphabet, load
-from quillspark.llm.common import flat, keep, scratch, small_batches, steps
+from quillspark.llm.common import flat, keep, scratch, steps
 
 LIMIT = 16
+#: Random texts, and their characters, on which a loaded tokenizer's short cuts are held against the library.
+TRIALS, TRIAL_CHARS = 300, 40
 STRIDE = 128
 #: Ids after which a block ends.
 BLOCK_IDS = 1 << 16
@@ -46,7 +54,7 @@ BLOCK_IDS = 1 << 16
 FILE_BLOCKS = 64
 #: Entries of each generation of a worker's cache.
 CACHE = 600_000
-MAGIC = b"QTB1"
+MAGIC = b"QTB2"
 
 
 def pieces(text: str) -> list[str]:
@@ -56,7 +64,8 @@ def pieces(text: str) -> list[str]:
 
 def apart(text: str) -> str:
     """text with full stops and commas cut off, unless one stands in a run of punctuation."""
-    marks = [c for c in set(text) if not c.isalnum() and not c.isspace()]
+    # the information separators are blanks to Python, but not to a tokenizer
+    marks = [c for c in set(text) if not c.isalnum() and (not c.isspace() or c in "\x1c\x1d\x1e\x1f")]
     if any(m + x in text or x + m in text for m in marks for x in ".,"):
         return text
     return text.replace(".", " .").replace(",", " ,")
@@ -92,9 +101,26 @@ class ChunkEncoder:
         self.by_letter = self.by_chunk and normal == ["NFC", "Replace", "Lowercase"] and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and split[0]["behavior"] == "Removed" and split[0]["invert"]
         self.cut = regex.compile(pattern).findall if self.by_letter else None
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
+        self._forget()
+        texts = self._trials()
+        whole = [self._whole(t) for t in texts]
+        for cut in ("by_letter", "by_chunk"):
+            if getattr(self, cut) and [self.encode(t) for t in texts] != whole:
+                setattr(self, cut, False)
+                if cut == "by_chunk":
+                    self.by_letter = False
+            self._forget()
+
+    def _forget(self) -> None:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def _trials(self) -> list[str]:
+        """The same random texts for every load: words, marks, digits, blanks of all kinds, special tokens, accents apart."""
+        draw = random.Random(20240611)
+        alphabet = [*"aabcdeeiillmnorsttuvBEIRSTÉŒß' '  \n.,.,!?-_/()<|>#@&12308½²", *"\t\r\u00a0\u3000\x85\x0b\x1c", *"éñüΣςσжяИ中国あ한עمक\u093f\u0301\u0327\u200d😀ﬁ", "'s", "'ll", "'T", " '", *self.special]
+        return ["".join(draw.choices(alphabet, k=draw.randrange(1, TRIAL_CHARS))) for _ in range(TRIALS)]
+
     def _whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -150,7 +176,6 @@ def id_kind(path: str, end_id: int | None = None) -> str:
 def tokenise(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "text") -> DataFrame:
     """(doc_id, ids): ids as bytes of id_kind(), with the end id."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = load(spark, path)
     kind = id_kind(path, end_id)
     end = b"" if end_id is None else np.array([end_id], kind).tobytes()
@@ -191,7 +216,10 @@ def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 for ids that do not occur."""
+    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 for ids that do not occur.
+
+    More ids than codes of that many bits take as many bits as they need.
+    """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     n = len(used)
@@ -200,8 +228,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if n == 1:
         lengths[used] = 1
         return lengths
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids do not fit codes of {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     leaf = counts[order].astype(np.float64)
     # levels[k] marks which of the merged items of level k are leaves; the first 2n - 2 of the last are taken
@@ -228,9 +255,9 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 class CodeBook:
     """Canonical codes by (length, id), the encoder and the table-driven decoder."""
 
-    def __init__(self, lengths: np.ndarray, limit: int = LIMIT):
+    def __init__(self, lengths: np.ndarray):
         self.lengths = np.asarray(lengths, np.uint8)
-        self.limit = limit
+        self.limit = limit = max(LIMIT, int(self.lengths.max(initial=0)))
         used = np.flatnonzero(self.lengths)
         order = used[np.lexsort((used, self.lengths[used]))]
         size = self.lengths[order].astype(np.int64)
@@ -258,7 +285,7 @@ class CodeBook:
         high, low = (wide >> np.uint64(32)).astype(np.float64), (wide & np.uint64(0xFFFFFFFF)).astype(np.float64)
         # codes do not overlap, so sums are unions; they stay below 2**32 and are exact
         out = np.bincount(word, high, n) + np.bincount(word + 1, low, n + 1)[:n]
-        return out.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], start[::STRIDE].astype("<u4"), total
+        return out.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], start[::STRIDE].astype("<u8"), total
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """n ids, read from all checkpoints side by side."""
@@ -277,10 +304,10 @@ class CodeBook:
     def block(self, docs: list[tuple[int | None, np.ndarray]]) -> bytes:
         ids = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.uint32)
         bits, checkpoints, total = self.encode(ids)
-        head = np.array([len(docs), len(ids), len(checkpoints), total], "<u4").tobytes() + np.array([self.fingerprint], "<u8").tobytes()
-        names = np.array([d or 0 for d, _ in docs], "<i8").tobytes() + np.array([d is not None for d, _ in docs], np.uint8).tobytes() + np.array([len(x) for _, x in docs], "<u4").tobytes()
+        head = np.array([len(docs), len(ids), len(checkpoints), total, self.fingerprint], "<u8").tobytes()
+        names = np.array([d or 0 for d, _ in docs], "<i8").tobytes() + np.array([d is not None for d, _ in docs], np.uint8).tobytes() + np.array([len(x) for _, x in docs], "<u8").tobytes()
         body = head + names + checkpoints.tobytes() + bits
-        return MAGIC + np.array([len(body)], "<u4").tobytes() + body
+        return MAGIC + np.array([len(body)], "<u8").tobytes() + body
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -289,21 +316,20 @@ def parse(data: bytes) -> Iterator[dict]:
     while at < len(data):
         if data[at : at + 4] != MAGIC:
             raise ValueError(f"no block at byte {at}")
-        size = int.from_bytes(data[at + 4 : at + 8], "little")
-        body = data[at + 8 : at + 8 + size]
-        if len(body) != size or data[at + 8 + size : at + 9 + size] != b"\n":
+        size = int.from_bytes(data[at + 4 : at + 12], "little")
+        body = data[at + 12 : at + 12 + size]
+        if len(body) != size or data[at + 12 + size : at + 13 + size] != b"\n":
             raise ValueError(f"block at byte {at} is cut short")
-        n_docs, n_ids, n_points, _ = np.frombuffer(body, "<u4", 4).tolist()
-        p = 24
-        names = np.frombuffer(body, "<i8", n_docs, p).tolist()
-        known = np.frombuffer(body, np.uint8, n_docs, p + 8 * n_docs)
-        counts = np.frombuffer(body, "<u4", n_docs, p + 9 * n_docs)
-        p += 13 * n_docs
+        n_docs, n_ids, n_points, _, fingerprint = np.frombuffer(body, "<u8", 5).tolist()
+        names = np.frombuffer(body, "<i8", n_docs, 40).tolist()
+        known = np.frombuffer(body, np.uint8, n_docs, 40 + 8 * n_docs)
+        counts = np.frombuffer(body, "<u8", n_docs, 40 + 9 * n_docs).astype(np.int64)
+        p = 40 + 17 * n_docs
         yield {
-            "doc_ids": [d if k else None for d, k in zip(names, known)], "counts": counts, "n_ids": n_ids, "fingerprint": int(np.frombuffer(body, "<u8", 1, 16)[0]),
-            "checkpoints": np.frombuffer(body, "<u4", n_points, p), "bits": body[p + 4 * n_points :],
+            "doc_ids": [d if k else None for d, k in zip(names, known)], "counts": counts, "n_ids": n_ids, "fingerprint": fingerprint,
+            "checkpoints": np.frombuffer(body, "<u8", n_points, p), "bits": body[p + 8 * n_points :],
         }
-        at += 9 + size
+        at += 13 + size
 
 
 def write(tokens: DataFrame, path: str, lengths: np.ndarray, kind: str) -> None:
@@ -334,50 +360,58 @@ def write(tokens: DataFrame, path: str, lengths: np.ndarray, kind: str) -> None:
     book.coalesce(1).write.parquet(f"{path}/codebook")
 
 
+def _starts(files: DataFrame) -> DataFrame:
+    """(file, base): how many ids all files before have, from (file, n).
+
+    A file's name has the number of the task that wrote it, in the order of doc_id, and its number
+    there. Files are added up by task, tasks by thousands, and those in order: three short sums.
+    """
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    files = files.select("file", "n", number(r"^part-(\d+)-").alias("task"), number(r"-c(\d+)[^-]*$").alias("at"))
+    tasks = files.groupBy("task").agg(F.sum("n").alias("n")).withColumn("group", F.floor(F.col("task") / 1000))
+    groups = tasks.groupBy("group").agg(F.sum("n").alias("n"))
+
+    def before(keys: tuple[str, ...], order: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(*keys).orderBy(order)) - F.col("n")
+
+    groups = groups.select("group", before((), "group").alias("_g"))
+    tasks = tasks.select("task", "group", before(("group",), "task").alias("_t")).join(groups, "group")
+    return files.select("file", "task", before(("task",), "at").alias("_f")).join(tasks, "task").select("file", (F.col("_f") + F.col("_t") + F.col("_g")).alias("base"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): decoded from the files; start counts the ids of all documents before.
 
-    A first pass reads block heads only and brings one row per file to the driver, which adds up
-    where each file begins.
+    A first pass reads block heads only and adds up where each file begins.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     lengths = np.frombuffer(spark.read.parquet(f"{path}/codebook").first().lengths, np.uint8)
     # path-free file names: the folder may be read by another scheme than it was written by
     files = spark.read.format("binaryFile").load(f"{path}/data").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def heads(batches):
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                first, total = [], 0
-                for b in parse(content.as_py()):
-                    first.append(b["doc_ids"][0])
-                    total += b["n_ids"]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first[0] if first else None], pa.int64()), pa.array([total], pa.int64())], names=["file", "first", "n"])
+            n = [sum(b["n_ids"] for b in parse(content.as_py())) for content in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(n, pa.int64())], names=["file", "n"])
 
-    start, at = {}, 0
-    # equal first ids (one id over several files) keep the writer's order, which the names have
-    for r in files.mapInArrow(heads, "file string, first long, n long").orderBy(F.col("first").asc_nulls_first(), "file").toLocalIterator():
-        start[r.file] = at
-        at += r.n
-    shared = spark.sparkContext.broadcast((lengths, start))
+    starts = keep(_starts(keep(files.mapInArrow(heads, "file string, n long"), "token-file-sizes")), "token-file-starts")
+    shared = spark.sparkContext.broadcast(lengths)
 
     def run(batches):
-        lens, starts = shared.value
-        book = CodeBook(lens)
+        book = CodeBook(shared.value)
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                at = starts[name]
+            for name, at, content in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), batch.column("content")):
                 for b in parse(content.as_py()):
                     if b["fingerprint"] != book.fingerprint:
                         raise ValueError(f"{name} was written with another code book")
                     ids = book.decode(b["bits"], b["checkpoints"], b["n_ids"]).astype("<u4")
-                    ends = np.cumsum(b["counts"], dtype=np.int64)
+                    ends = np.cumsum(b["counts"])
                     parts = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), b["counts"].tolist())]
                     first = at + ends - b["counts"]
                     at += b["n_ids"]
-                    yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array(first, pa.int64()), pa.array(b["counts"].astype(np.int64)), pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array(first, pa.int64()), pa.array(b["counts"]), pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # Spark broadcasts the starts if they are few, by its own check of their size
+    return files.join(starts, "file").select("file", "base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
