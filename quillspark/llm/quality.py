@@ -1,20 +1,29 @@
 """Quality rules as a short-circuit cascade, in native expressions only.
 
-``order_rules`` estimates each rule's cost and how much it rejects on a bounded sample and puts
-those first that reject most per unit of cost; ``verdict`` is one CASE expression, whose later
-branches are not evaluated for a document that an earlier rule has rejected. The order changes
-the speed and the reported reason, never which documents are kept.
-
-Null text counts as empty: no words, so ``too_short`` rejects it. Documents with the same
-doc_id are judged one by one. Other columns pass through; measure columns are named here and
-replace columns of the same name. An empty table gives an empty result.
+A rule is a condition over the text, with an estimate of its work as a second expression. All rules
+are measured on a bounded sample in one job: for every combination of rejecting rules that occurs,
+the number of documents and the work of each rule on them. ``best_order`` then puts that rule next
+which rejects most of the documents still there per unit of work spent on them. ``first_failed`` is
+one CASE expression over the rules themselves, not over columns made before: the words, lines or
+counts that a rule needs are made inside its own branch, so for a document that an earlier rule has
+rejected the later rules cost nothing. The order changes work and the reported reason, never which
+documents are kept; ``cascade_counts`` tells how many documents each rule judged, rejected and skipped.
+
+Work is counted in characters that a regular expression or a split passes over, and weighted
+elements of arrays; unlike seconds, it gives the same order on every run.
+
+Null text counts as empty: no words, so ``base`` rejects it. Documents with the same doc_id are
+judged one by one. Other columns pass through; columns of the names that are added here are replaced.
+An empty table gives an empty result. Texts may be of any length; a text's words and windows are
+held in memory together.
 """
 
 from __future__ import annotations
 
-import time
+import random
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +31,25 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
-#: Rows on which costs and selectivities are estimated; they only set the order of the rules.
-SAMPLE_ROWS = 2000
+#: Rows on which work and selectivities are estimated, and files that they are taken from; they only set the order of the rules.
+SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_SEED = 2000, 8, 7
+#: Work of making one element of an array, in characters passed over.
+ELEMENT = 12
+#: Lines of a text from which on shares of its lines count.
+LEAST_LINES = 5
+BULLET = r"^[ \t]*[-*•‣▪·][ \t]"
+ELLIPSIS = r"(?:\.\.\.|…)[ \t\r]*\z"
+#: The start of a word with a letter; anchored at the word, so words of any length take linear time.
+LETTERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is true for a document to reject; null counts as false."""
+    """``fails`` is true for a document to reject (null counts as false); ``work`` estimates what it costs."""
 
     name: str
     fails: Column
+    work: Column
 
 
 def let(value: Column, body) -> Column:
@@ -39,8 +57,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
-    """Words inside windows whose hash occurs at least twice among ``hashes``, one per window."""
+def body_of(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
+
+
+def words_of(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
+
+
+def lines_of(body: Column) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+
+
+def repeated_words(windows: Column, width: int = WINDOW) -> Column:
+    """Words inside windows that occur at least twice among ``windows``, in the order of their first words."""
 
     def covered(places: Column) -> Column:
         steps = F.transform(places, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(places, i + 1) - x, F.lit(width))))
@@ -50,63 +81,115 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
         same = lambda i, x: F.coalesce(F.get(pairs, i)["h"] == x["h"], F.lit(False))
         return F.filter(pairs, lambda x, i: F.when(i > 0, same(i - 1, x)).otherwise(F.lit(False)) | same(i + 1, x))
 
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return let(pairs, lambda p: let(F.sort_array(F.transform(twins(p), lambda x: x["i"])), covered))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, all long."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"__quill_body": body, "__quill_words": F.regexp_extract_all(body, F.lit(WORD), F.lit(0))})
-    lines = F.filter(F.split(F.col("__quill_body"), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long.
+
+    Windows are compared by 64-bit hashes first: if all differ, so do the windows. Only where two
+    hashes are equal the windows themselves are compared.
+    """
+    out = docs.withColumns({"__quill_body": body_of(text), "__quill_words": words_of(body_of(text))})
     n = F.size("__quill_words")
-    windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__quill_words", i, WINDOW))))
-    out = out.withColumns({"__quill_lines": lines, "__quill_windows": windows, "n_words": n.cast("long")})
+    windows = lambda made: F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: made(F.slice("__quill_words", i, WINDOW)))
+    out = out.withColumns({"__quill_lines": lines_of(F.col("__quill_body")), "__quill_windows": F.when(n > WINDOW, windows(F.xxhash64)), "n_words": n.cast("long")})
     whole = F.size(F.array_distinct("__quill_windows")) == F.size("__quill_windows")
     return out.withColumns(
         {
             "word_chars": (F.length("__quill_body") - F.regexp_count("__quill_body", F.lit(SPACE))).cast("long"),
             "n_symbols": F.regexp_count("__quill_body", F.lit(SYMBOL)).cast("long"),
-            "n_lines": F.size("__quill_lines").cast("long"),
             "n_dup_lines": (F.size("__quill_lines") - F.size(F.array_distinct("__quill_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("__quill_windows").isNull() | whole, F.lit(0)).otherwise(repeated_words(F.col("__quill_windows"))).cast("long"),
+            # a word has no blank, so the joined words are the window
+            "n_repeat_words": F.when(F.col("__quill_windows").isNull() | whole, F.lit(0)).otherwise(repeated_words(windows(lambda w: F.array_join(w, " ")))).cast("long"),
         }
     ).drop("__quill_body", "__quill_words", "__quill_lines", "__quill_windows")
 
 
 def base_failed() -> Column:
-    """Fewer than 20 words, or over 30 % of the words inside repeated windows."""
+    """Over measure(): fewer than 20 words, or over 30 % of the words inside repeated windows."""
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def default_rules() -> list[Rule]:
-    """Over the columns of measure()."""
-    words = F.col("n_words")
+def default_rules(text: str = "text") -> list[Rule]:
+    """Each over the text alone. Shares are of words or of lines with a word; a text without any fails none of them."""
+    body = body_of(text)
+    n_words = F.regexp_count(body, F.lit(WORD))
+    chars = F.length(body)
+    regex = lambda passes: (chars * passes).cast("double")
+    lines = lambda test: let(lines_of(body), test)
+    words = lambda test: let(words_of(body), test)
+    elements = F.size(F.split(body, " ")) * ELEMENT
+    share = lambda xs, test: F.size(F.filter(xs, test))
     return [
-        Rule("base", base_failed()),
-        Rule("symbols", 10 * F.col("n_symbols") > words),
-        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        Rule("long_words", F.col("word_chars") > 20 * words),
-        Rule("short_words", F.col("word_chars") < 2 * words),
+        Rule("symbols", 10 * F.regexp_count(body, F.lit(SYMBOL)) > n_words, regex(2)),
+        Rule("long_words", chars - F.regexp_count(body, F.lit(SPACE)) > 20 * n_words, regex(2)),
+        Rule("short_words", chars - F.regexp_count(body, F.lit(SPACE)) < 2 * n_words, regex(2)),
+        Rule("no_letters", 2 * F.regexp_count(body, F.lit(LETTERED)) < n_words, regex(2)),
+        Rule("duplicate_lines", lines(lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x)), regex(2)),
+        Rule("bullets", lines(lambda x: (F.size(x) >= LEAST_LINES) & (10 * share(x, lambda y: F.rlike(y, F.lit(BULLET))) > 9 * F.size(x))), regex(3)),
+        Rule("ellipses", lines(lambda x: (F.size(x) >= LEAST_LINES) & (10 * share(x, lambda y: F.rlike(y, F.lit(ELLIPSIS))) > 3 * F.size(x))), regex(3)),
+        # a word that is more than half of all stands in the middle of the sorted ones
+        Rule("one_word", words(lambda w: let(F.sort_array(w), lambda s: 5 * share(s, lambda x: x == F.get(s, (F.size(s) / 2).cast("int"))) > 4 * F.size(s))), regex(1) + 3 * elements),
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second on the first ``rows`` rows that Spark delivers.
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
+    """At most ``rows`` texts out of a few files that a seed picks, so the others are not read.
 
-    Each rule runs alone over the sample, so that column pruning leaves only what it needs; the
-    time of an empty aggregate is taken off.
+    A table that is not read from files gives its first rows instead.
     """
-    sample = docs.limit(rows)
+    texts = lambda df: df.select(F.col(text))
+    try:
+        files = sorted(docs.inputFiles())
+        chosen = random.Random(SAMPLE_SEED).sample(files, min(SAMPLE_FILES, len(files)))
+        each = -(-rows // max(len(chosen), 1))
+        # a condition on the file's path alone prunes the other files from the scan
+        parts = [texts(docs.where(F.col("_metadata.file_path") == f)).limit(each) for f in chosen]
+    except AnalysisException:
+        parts = []
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionAll(part)
+    if out is None or out.isEmpty():
+        out = texts(docs).limit(rows)
+    return out
+
 
-    def timed(fails: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        row = sample.agg(F.count("*").alias("n"), F.count_if(F.coalesce(fails, F.lit(False))).alias("bad")).first()
-        return time.perf_counter() - began, (row["bad"] or 0) / max(row["n"], 1)
+def sample_counts(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, text: str = "text") -> list[tuple[int, int, list[float]]]:
+    """(bit mask of rejecting rules, documents, work of each rule on them) on the sample; at most ``rows`` masks."""
+    bits = [F.when(F.coalesce(r.fails, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    work = [F.sum(r.work).alias(f"w{i}") for i, r in enumerate(rules)]
+    found = sample_of(docs, rows, text).groupBy(mask.alias("mask")).agg(F.count("*").alias("n"), *work).collect()
+    return [(r["mask"], r["n"], [r[f"w{i}"] or 0.0 for i in range(len(rules))]) for r in sorted(found)]
 
-    idle, _ = timed(F.lit(False))
-    found = {r.name: timed(r.fails) for r in rules}
-    return sorted(rules, key=lambda r: -(found[r.name][1] + 1e-9) / max(found[r.name][0] - idle, 1e-3))
+
+def best_order(counts: list[tuple[int, int, list[float]]], rules: list[Rule]) -> list[Rule]:
+    """The rules, next always that with most rejections per work among the documents that the ones before let through.
+
+    Without a sample, and among equals, the given order stays.
+    """
+    left, out = list(range(len(rules))), []
+    while left:
+
+        def gain(i: int) -> float:
+            rejected = sum(n for mask, n, _ in counts if mask >> i & 1)
+            return rejected / (1 + sum(w[i] for _, _, w in counts))
+
+        best = max(left, key=lambda i: (gain(i), -i))
+        out.append(rules[best])
+        left.remove(best)
+        counts = [c for c in counts if not c[0] >> best & 1]
+    return out
+
+
+def order_rules(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
+    """The rules in the order of best_order() on a sample of docs."""
+    return best_order(sample_counts(docs, rules, rows, text), rules) if len(rules) > 1 else list(rules)
 
 
 def first_failed(rules: list[Rule]) -> Column:
@@ -118,7 +201,23 @@ def first_failed(rules: list[Rule]) -> Column:
 
 
 def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
-    """docs with the measures, ``failed_rule`` (null: none) and ``kept``."""
+    """docs with the measures of measure(), ``failed_rule`` (null: none) and ``kept``.
+
+    The base rule comes first, as its measures are there anyway; the others follow in sampled order.
+    """
     measured = measure(docs, text)
-    ordered = order_rules(measured, default_rules() if rules is None else rules, sample_rows)
-    return measured.withColumn("failed_rule", first_failed(ordered)).withColumn("kept", F.col("failed_rule").isNull())
+    ordered = order_rules(docs, default_rules(text) if rules is None else rules, sample_rows, text)
+    reason = F.when(base_failed(), F.lit("base")).otherwise(first_failed(ordered))
+    return measured.withColumn("failed_rule", reason).withColumn("kept", F.col("failed_rule").isNull())
+
+
+def cascade_counts(result: DataFrame, order: list[str]) -> DataFrame:
+    """For each rule of ``order`` (first to last): place, rule, judged, rejected and skipped documents of a cascade."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("failed_rule"))
+    by_rule = result.groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("at")).agg(F.count("*").alias("n"))
+    rules = F.transform(F.array(*map(F.lit, order)), lambda r, i: F.struct((i + 1).alias("place"), r.alias("rule")))
+    sums = by_rule.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("n"), F.sum("n").alias("all"))
+    each = sums.select("n", "all", F.inline(rules))
+    before = F.aggregate(F.map_values(F.map_filter("n", lambda k, v: (k > 0) & (k < F.col("place")))), F.lit(0).cast("long"), lambda a, x: a + x)
+    rejected = F.coalesce(F.try_element_at("n", F.col("place")), F.lit(0).cast("long"))
+    return each.select("place", "rule", (F.col("all") - before).alias("judged"), rejected.alias("rejected"), before.alias("skipped"))
