@@ -7,10 +7,11 @@ compatible, that is if the BPE encoding of their joined bytes is u, t. Following
 from the end gives the exact ids in time linear in the piece, however long it is.
 
 Texts are split into pieces as the tokenizer file says (special tokens, then its pattern). Text
-between two single spaces is split and encoded once and kept in a bounded cache; runs of white
-space, which the pattern treats together, take the whole text the long way.
+between two single spaces, with the runs of white space in it, is split and encoded once and kept
+in a bounded cache.
 
-Null text is empty text: no ids.
+Null text is empty text: no ids. Rows of equal doc_id are encoded one by one, and an empty table
+gives an empty result; encode() and decode() replace the column that they add and keep all others.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import small_batches, steps
+from quillspark.llm.common import steps
 
 #: The pre-tokenizer pattern that a ByteLevel tokenizer file stands for; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,6 +77,7 @@ class PrefixBpe:
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.runs = regex.compile(r"\s\s|^\s|\s$").search
+        self.single = regex.compile(r"(?<=\S) (?=\S)").split
         self.fits: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
@@ -169,9 +171,8 @@ class PrefixBpe:
     def _spaced(self, text: str) -> list[int]:
         if not text:
             return []
-        if self.runs(text):
-            return list(chain.from_iterable(self._plain(text)))
-        first, *rest = text.split(" ")
+        # a piece never goes across a single blank between others; it begins with it
+        first, *rest = self.single(text) if self.runs(text) else text.split(" ")
         get, chunk = self.chunks.get, self._chunk
         out: list[int] = list(get(first) or chunk(first))
         for x in rest:
@@ -216,7 +217,6 @@ def load(spark: SparkSession, path: str):
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the ids decoded again."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = load(spark, path)
 
     def run(batches):
@@ -237,7 +237,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids") -> DataFrame:
     """docs with an array of ids (replacing a column of that name)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = load(spark, path)
     docs = docs.drop(column)
     names = docs.columns
@@ -254,7 +253,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
 def decode(rows: DataFrame, path: str, column: str = "ids", text: str = "text") -> DataFrame:
     """rows with the text of their ids (null ids: empty text)."""
     spark = rows.sparkSession
-    small_batches(spark)
     shared = load(spark, path)
     rows = rows.drop(text)
     names = rows.columns

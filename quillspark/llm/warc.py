@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keep, scratch, small_batches
+from quillspark.llm.common import keep, scratch
 
 #: Field names of ARC header lines by version.
 ARC_FIELDS = {
@@ -166,7 +166,6 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def legacy_records(pages: DataFrame) -> DataFrame:
     """(page_id, digest, arc): each page as a deflated ARC archive of one record, in both versions."""
-    small_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -214,7 +213,6 @@ def write_warc(records: DataFrame, path: str, file_records: int = FILE_RECORDS)
 def read_warc(spark, path: str) -> DataFrame:
     """One row per record under ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches):
@@ -236,6 +234,12 @@ def read_warc(spark, path: str) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
+def dangling_revisits(records: DataFrame) -> DataFrame:
+    """The revisits of read_warc() without a response record of the id that they refer to and of equal payload."""
+    origin = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    return records.where("record_type = 'revisit'").join(origin, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Pages to ARC, ARC to WARC files, and the files read back."""
     spark = pages.sparkSession
