@@ -1,7 +1,7 @@
 """DuckDB statements that return the rows of the queries of the same names.
 
-op2 (Feistel networks), op4 (BPE), op5 (a learned model) and op8 (Huffman files) have none: their
-tests hold them against brute-force versions.
+op2 (Feistel networks), op3 (byte-level suffixes of whole tables), op4 (BPE), op5 (a learned model)
+and op8 (Huffman files) have none: their tests hold them against brute-force versions.
 """
 
 from __future__ import annotations
@@ -39,12 +39,16 @@ measured AS (
   SELECT doc_id, len(w)::BIGINT AS n_words,
     (length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+    w, l, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM words JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept
-FROM measured
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+    OR 2 * len([x FOR x IN w IF regexp_matches(x, '\p{L}')]) < n_words
+    OR n_lines >= 5 AND 10 * len([x FOR x IN l IF regexp_matches(x, '^[ \t]*[-*•‣▪·][ \t]')]) > 9 * n_lines
+    OR n_lines >= 5 AND 10 * len([x FOR x IN l IF regexp_matches(x, '(\.\.\.|…)[ \t\r]*\z')]) > 3 * n_lines
+    OR 5 * most > 4 * n_words) AS kept
+FROM measured LEFT JOIN (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM words) GROUP BY doc_id, x) GROUP BY doc_id) USING (doc_id)
 """
 # the character class of what is taken away is written the other way round
 ORACLES["op10_quality"] = ORACLES["op10_quality"].replace(r"length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g'))", r"length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))")
@@ -80,3 +84,14 @@ least AS (SELECT a, min(c) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
 """
+
+ORACLES["op9_warc"] = r"""
+WITH records AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT page_id, html, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) % 32 + 1)::INT, 1) FOR i IN range(32)], '') AS payload_digest
+  FROM records),
+lasts AS (SELECT html, max(page_id) AS last FROM records GROUP BY html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, nullif(last, page_id) AS refers_to
+FROM digests JOIN lasts USING (html)
+"""
