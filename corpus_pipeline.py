@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
 to the shared folder and reads it for the next. All stages but the last return the columns that
-they got. A stage learns from its own input only.
+they got, whatever their names. A stage learns from its own input only.
 """
 
 from __future__ import annotations
@@ -13,27 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontam, langid, minhash, pii
-from quillspark.llm.common import keep, read
-from quillspark.llm.queries import tokenizer_path
+from quillspark.llm.common import keep, read, shielded
+from quillspark.llm.queries import pii_key, tokenizer_path
 
 #: Near copies: words of a shingle, and percent of Jaccard similarity.
 SHINGLE_WORDS, SIMILARITY = 5, 80
-#: Benchmark items of which a document has a window before it goes; with fewer it loses the windows.
-BENCHMARK_ITEMS = 2
+#: Benchmark items of which a document may have no window: with one it goes.
+BENCHMARK_ITEMS = 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language (no letter at all, or no text)."""
     profiles = langid.learn(docs.where(~langid.held_out()))
-    return langid.predict(docs, profiles).where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return shielded(docs, ("lang_pred", "score"), lambda d: langid.predict(d, profiles).where(F.col("lang_pred") != langid.UNKNOWN))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies; rows of one doc_id stay or go together."""
     found = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
-    stay = keep(found.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
+    stay = keep(found.where("kept").select(F.col("doc_id").alias("__quill_id")).distinct(), "kept-ids")
     # a merge join at every size: the ids grow with the data, so they are never broadcast
-    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__quill_id")), "left_semi")
 
 
 def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,19 +42,18 @@ def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with windows of several benchmark items, and cuts the windows of one item out of the text."""
-    out = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), least_items=BENCHMARK_ITEMS, remove="both")
-    return _counted(out, docs)
+    """Drops every document with a window of a benchmark item."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), least_items=BENCHMARK_ITEMS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format."""
-    return _counted(pii.pseudonymise(docs).drop("pii_kinds"), docs)
+    return _counted(shielded(docs, ("pii_kinds",), lambda d: pii.pseudonymise(d, pii_key(spark))), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of every text, and their number."""
-    out = bpe.encode(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Adds the ids of every text, and their number (in place of columns ids and n_tokens)."""
+    out = bpe.encode(docs.drop("n_tokens"), tokenizer_path("byte_bpe_50k.json"))
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
