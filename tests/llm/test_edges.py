@@ -506,8 +506,9 @@ def test_near_duplicates(spark, monkeypatch):
             t[rng.randrange(len(t))] = rng.choice(words)
         texts.append(" ".join(t))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (512, 16, 5):
+    for block, first in ((256, 64), (16, 6), (5, 3)):
         monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "FIRST_BLOCK", first)
         got = {r.doc_id: r for r in minhash.near_duplicates(df).collect()}
         sizes, comps = brute_components(texts)
         assert [got[i].n_shingles for i in range(len(texts))] == sizes
@@ -538,6 +539,7 @@ def test_rows_of_one_id_keep_all_their_links(spark):
 def test_one_large_group_of_near_copies(spark, monkeypatch):
     """Over many blocks: a chain of near copies is one component, and documents with one passage in common are not."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "FIRST_BLOCK", 5)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     texts = []
