@@ -45,10 +45,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
     OR 2 * len([x FOR x IN w IF regexp_matches(x, '\p{L}')]) < n_words
-    OR n_lines >= 5 AND 10 * len([x FOR x IN l IF regexp_matches(x, '^[ \t]*[-*•‣▪·][ \t]')]) > 9 * n_lines
-    OR n_lines >= 5 AND 10 * len([x FOR x IN l IF regexp_matches(x, '(\.\.\.|…)[ \t\r]*\z')]) > 3 * n_lines
-    OR 5 * most > 4 * n_words) AS kept
-FROM measured LEFT JOIN (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM words) GROUP BY doc_id, x) GROUP BY doc_id) USING (doc_id)
+    OR bullets >= 5 AND n_lines >= 5 AND 10 * bullets > 9 * n_lines
+    OR n_lines >= 5 AND 10 * dotted > 3 * n_lines) AS kept
+FROM (SELECT *, len([x FOR x IN l IF regexp_matches(x, '^[ \t]*[-*•‣▪·][ \t]')]) AS bullets, len([x FOR x IN l IF regexp_matches(x, '(\.\.\.|…)[ \t\r]*\z')]) AS dotted FROM measured)
 """
 # the character class of what is taken away is written the other way round
 ORACLES["op10_quality"] = ORACLES["op10_quality"].replace(r"length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g'))", r"length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))")

@@ -4,13 +4,13 @@ A rule is a condition over the text, with an estimate of its work as a second ex
 are measured on a bounded sample in one job: for every combination of rejecting rules that occurs,
 the number of documents and the work of each rule on them. ``best_order`` then puts that rule next
 which rejects most of the documents still there per unit of work spent on them. ``first_failed`` is
-one CASE expression over the rules themselves, not over columns made before: the words, lines or
-counts that a rule needs are made inside its own branch, so for a document that an earlier rule has
-rejected the later rules cost nothing. The order changes work and the reported reason, never which
-documents are kept; ``cascade_counts`` tells how many documents each rule judged, rejected and skipped.
+one CASE expression: what a rule needs beyond the measures that every document gets anyway is made
+inside its own branch, so for a document that an earlier rule has rejected the later rules cost
+nothing. The order changes work and the reported reason, never which documents are kept;
+``cascade_counts`` tells how many documents each rule judged, rejected and skipped.
 
-Work is counted in characters that a regular expression or a split passes over, and weighted
-elements of arrays; unlike seconds, it gives the same order on every run.
+Work is counted in characters that a regular expression passes over; unlike seconds, it gives the
+same order on every run.
 
 Null text counts as empty: no words, so ``base`` rejects it. Documents with the same doc_id are
 judged one by one. Other columns pass through; columns of the names that are added here are replaced.
@@ -33,12 +33,12 @@ SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
 #: Rows on which work and selectivities are estimated, and files that they are taken from; they only set the order of the rules.
 SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_SEED = 2000, 8, 7
-#: Work of making one element of an array, in characters passed over.
-ELEMENT = 12
 #: Lines of a text from which on shares of its lines count.
 LEAST_LINES = 5
-BULLET = r"^[ \t]*[-*•‣▪·][ \t]"
-ELLIPSIS = r"(?:\.\.\.|…)[ \t\r]*\z"
+#: What occurs once in each line that has a word, that is an item of a list, that ends in dots.
+LINE = r"[^\x20\x09-\x0D][^\n]*+"
+BULLET = r"(?<![^\n])[ \t]*+[-*•‣▪·][ \t]"
+ELLIPSIS = r"(?:\.\.\.|…)[ \t\r]*+(?=\n|\z)"
 #: The start of a word with a letter; anchored at the word, so words of any length take linear time.
 LETTERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 
@@ -65,11 +65,6 @@ def words_of(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
 
 
-def lines_of(body: Column) -> Column:
-    """The lines that have a word."""
-    return F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-
-
 def repeated_words(windows: Column, width: int = WINDOW) -> Column:
     """Words inside windows that occur at least twice among ``windows``, in the order of their first words."""
 
@@ -88,21 +83,29 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long.
 
-    Windows are compared by 64-bit hashes first: if all differ, so do the windows. Only where two
-    hashes are equal the windows themselves are compared.
+    Windows are compared by 64-bit hashes first, made of the hashes of their words: if all differ, so
+    do the windows. Only where two hashes are equal the windows themselves are compared.
     """
     out = docs.withColumns({"__quill_body": body_of(text), "__quill_words": words_of(body_of(text))})
     n = F.size("__quill_words")
-    windows = lambda made: F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: made(F.slice("__quill_words", i, WINDOW)))
-    out = out.withColumns({"__quill_lines": lines_of(F.col("__quill_body")), "__quill_windows": F.when(n > WINDOW, windows(F.xxhash64)), "n_words": n.cast("long")})
+    places = F.sequence(F.lit(1), n - (WINDOW - 1))
+    hashed = F.transform("__quill_words", lambda w: F.xxhash64(w))
+    # two steps of four and two parts; the last places have no window
+    half = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW // 2)]))
+    both = lambda g: F.transform(g, lambda x, i: F.xxhash64(x, F.get(g, i + WINDOW // 2)))
+    windows = F.slice(let(hashed, lambda h: let(half(h), both)), F.lit(1), n - (WINDOW - 1))
+    out = out.withColumns({"__quill_lines": F.split(F.col("__quill_body"), "\n"), "__quill_windows": F.when(n > WINDOW, windows), "n_words": n.cast("long")})
+    lines = F.col("__quill_lines")
+    worded = lambda x: F.filter(x, lambda y: F.rlike(y, F.lit(WORD)))
+    doubled = F.size(F.array_distinct(lines)) < F.size(lines)
     whole = F.size(F.array_distinct("__quill_windows")) == F.size("__quill_windows")
     return out.withColumns(
         {
-            "word_chars": (F.length("__quill_body") - F.regexp_count("__quill_body", F.lit(SPACE))).cast("long"),
+            "word_chars": F.length(F.array_join("__quill_words", "")).cast("long"),
             "n_symbols": F.regexp_count("__quill_body", F.lit(SYMBOL)).cast("long"),
-            "n_dup_lines": (F.size("__quill_lines") - F.size(F.array_distinct("__quill_lines"))).cast("long"),
+            "n_dup_lines": F.when(doubled, F.size(worded(lines)) - F.size(F.array_distinct(worded(lines)))).otherwise(F.lit(0)).cast("long"),
             # a word has no blank, so the joined words are the window
-            "n_repeat_words": F.when(F.col("__quill_windows").isNull() | whole, F.lit(0)).otherwise(repeated_words(windows(lambda w: F.array_join(w, " ")))).cast("long"),
+            "n_repeat_words": F.when(F.col("__quill_windows").isNull() | whole, F.lit(0)).otherwise(repeated_words(F.transform(places, lambda i: F.array_join(F.slice("__quill_words", i, WINDOW), " ")))).cast("long"),
         }
     ).drop("__quill_body", "__quill_words", "__quill_lines", "__quill_windows")
 
@@ -113,25 +116,23 @@ def base_failed() -> Column:
 
 
 def default_rules(text: str = "text") -> list[Rule]:
-    """Each over the text alone. Shares are of words or of lines with a word; a text without any fails none of them."""
-    body = body_of(text)
-    n_words = F.regexp_count(body, F.lit(WORD))
-    chars = F.length(body)
-    regex = lambda passes: (chars * passes).cast("double")
-    lines = lambda test: let(lines_of(body), test)
-    words = lambda test: let(words_of(body), test)
-    elements = F.size(F.split(body, " ")) * ELEMENT
-    share = lambda xs, test: F.size(F.filter(xs, test))
+    """Over the text and the columns of measure(). Shares are of words or of lines with a word; a text without any fails none.
+
+    A rule over measures alone has next to no work; another one's conditions begin with the cheap ones.
+    """
+    body, words, chars = body_of(text), F.col("n_words"), F.col("word_chars")
+    lines = F.regexp_count(body, F.lit(LINE))
+    passes = lambda n: (F.length(body) * n).cast("double")
+    dots = F.contains(body, F.lit("...")) | F.contains(body, F.lit("…"))
+    starts = F.regexp_count(body, F.lit(BULLET))
     return [
-        Rule("symbols", 10 * F.regexp_count(body, F.lit(SYMBOL)) > n_words, regex(2)),
-        Rule("long_words", chars - F.regexp_count(body, F.lit(SPACE)) > 20 * n_words, regex(2)),
-        Rule("short_words", chars - F.regexp_count(body, F.lit(SPACE)) < 2 * n_words, regex(2)),
-        Rule("no_letters", 2 * F.regexp_count(body, F.lit(LETTERED)) < n_words, regex(2)),
-        Rule("duplicate_lines", lines(lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x)), regex(2)),
-        Rule("bullets", lines(lambda x: (F.size(x) >= LEAST_LINES) & (10 * share(x, lambda y: F.rlike(y, F.lit(BULLET))) > 9 * F.size(x))), regex(3)),
-        Rule("ellipses", lines(lambda x: (F.size(x) >= LEAST_LINES) & (10 * share(x, lambda y: F.rlike(y, F.lit(ELLIPSIS))) > 3 * F.size(x))), regex(3)),
-        # a word that is more than half of all stands in the middle of the sorted ones
-        Rule("one_word", words(lambda w: let(F.sort_array(w), lambda s: 5 * share(s, lambda x: x == F.get(s, (F.size(s) / 2).cast("int"))) > 4 * F.size(s))), regex(1) + 3 * elements),
+        Rule("symbols", 10 * F.col("n_symbols") > words, F.lit(1.0)),
+        Rule("long_words", chars > 20 * words, F.lit(1.0)),
+        Rule("short_words", chars < 2 * words, F.lit(1.0)),
+        Rule("duplicate_lines", (F.col("n_dup_lines") > 0) & (2 * F.col("n_dup_lines") > lines), F.when(F.col("n_dup_lines") > 0, passes(1)).otherwise(F.lit(1.0))),
+        Rule("no_letters", 2 * F.regexp_count(body, F.lit(LETTERED)) < words, passes(1)),
+        Rule("bullets", (starts >= LEAST_LINES) & (lines >= LEAST_LINES) & (10 * starts > 9 * lines), passes(1)),
+        Rule("ellipses", dots & (lines >= LEAST_LINES) & (10 * F.regexp_count(body, F.lit(ELLIPSIS)) > 3 * lines), F.when(dots, passes(2)).otherwise(passes(0.2))),
     ]
 
 
@@ -164,7 +165,7 @@ def sample_counts(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, t
     for b in bits[1:]:
         mask = mask.bitwiseOR(b)
     work = [F.sum(r.work).alias(f"w{i}") for i, r in enumerate(rules)]
-    found = sample_of(docs, rows, text).groupBy(mask.alias("mask")).agg(F.count("*").alias("n"), *work).collect()
+    found = measure(sample_of(docs, rows, text), text).groupBy(mask.alias("mask")).agg(F.count("*").alias("n"), *work).collect()
     return [(r["mask"], r["n"], [r[f"w{i}"] or 0.0 for i in range(len(rules))]) for r in sorted(found)]
 
 
@@ -188,7 +189,7 @@ def best_order(counts: list[tuple[int, int, list[float]]], rules: list[Rule]) ->
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
-    """The rules in the order of best_order() on a sample of docs."""
+    """The rules in the order of best_order() on a sample of docs, which is measured for them."""
     return best_order(sample_counts(docs, rules, rows, text), rules) if len(rules) > 1 else list(rules)
 
 
