@@ -1,19 +1,28 @@
 """A corpus index in a folder: the operations of the engine behind one object.
 
-Tables (docs, pages, chunks, vectors) are versioned Parquet folders; everything derived is a view.
+Stored are documents, pages, chunks, their inverted index, vectors, and the ledgers of recognised
+pages and described pictures, in one folder of segments: a run reads, chunks, indexes and embeds what
+has changed, and all tables change at once. What is taken from a document anew takes the rows of its
+ledgers and vectors away, so they are made again. Everything derived is a view.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import chunking
-from quillspark.operators import cards, facets, filters, incremental, lexical, linkage, reports, retrieval
+from quillspark.functions import chunking, text
+from quillspark.operators import cards, control, enrichment, facets, filters, incremental, lexical, linkage, reports, retrieval
 from quillspark.operators.querylang import Thesaurus, parse, parse_name_query
 from quillspark.sources import files
 
 PROFILES = {"projects": facets.project_facets, "marketing": facets.category_facets, "documentation": facets.documentation_facets}
+#: What the files of a table are sorted by.
+LAYOUT = {"postings": ["term", "id"], "docs": ["path_key"]}
+OCR = "doc_id long, page_no int, status string, version int, chars long"
+PICTURES = "doc_id long, page_no int, image_no int, sha1 string, model string, version int, answer string"
 
 
 class CorpusIndex:
@@ -25,58 +34,129 @@ class CorpusIndex:
         if profile is not None and profile not in PROFILES:
             raise ValueError(f"profile must be one of {', '.join(PROFILES)}")
 
-    def _table(self, name: str) -> incremental.Versions:
-        return incremental.Versions(self.spark, f"{self.path}/{name}")
+    @property
+    def tables(self) -> incremental.Segments:
+        return incremental.Segments(self.spark, self.path, LAYOUT)
 
     # -------------------------------------------------------------- ingest
 
     def index(self, extensions: tuple[str, ...] = (), max_bytes: int | None = None, retry_errors: bool = False) -> dict[str, int]:
-        """Brings the index up to date with the tree and tells how many files had which action."""
+        """Brings the index up to date with the tree and tells how many files had which action.
+
+        Only new and updated files are read.
+        """
         if self.root is None:
             raise ValueError("an index without a root cannot scan")
         found = files.list_files(self.spark, self.root, extensions, list(self.excluded)).withColumn("mtime", F.col("mtime").cast("double"))
-        docs, pages = self._table("docs"), self._table("pages")
-        if docs.current() is None:
-            stored = self.spark.createDataFrame([], "path_key string, size long, mtime double, status string, indexed_at double")
-        else:
-            stored = docs.read().select("path_key", "size", "mtime", "status", "indexed_at")
+        tables = self.tables
+        stored = tables.read("docs").select("path_key", "size", "mtime", "status", "indexed_at") if tables.has("docs") else self.spark.createDataFrame([], "path_key string, size long, mtime double, status string, indexed_at double")
         retry = ("error", "skipped") if retry_errors else ()
         actions = incremental.snapshot_diff(found, stored, retry, max_bytes=max_bytes).persist()
         counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
-        work = actions.where(F.col("action").isin("new", "updated", "skipped"))
         if counts.keys() & {"new", "updated", "skipped", "gone"}:
-            texts = files.extract(self.spark, self.root, extensions, max_bytes)
-            new = found.join(work, "path_key", "left_semi").join(texts, "path")
-            rows = new.select("path", "path_key", "ext", "size", "mtime", "status", "title", "n_pages", "error", F.unix_timestamp().cast("double").alias("indexed_at"), F.xxhash64("path_key").alias("doc_id"), "pages")
-            rows = rows.persist()
-            old_docs = docs.read() if docs.current() is not None else rows.drop("pages").limit(0)
-            old_pages = pages.read() if pages.current() is not None else files.page_rows(rows, "doc_id").limit(0)
-            gone = actions.where(F.col("action") != "unchanged").select("path_key")
-            ids = gone.select(F.xxhash64("path_key").alias("doc_id"))
-            pages.write(old_pages.join(ids, "doc_id", "left_anti").unionByName(files.page_rows(rows, "doc_id")))
-            docs.write(old_docs.join(gone, "path_key", "left_anti").unionByName(rows.drop("pages")))
-            self._table("chunks").write(chunking.chunk_pages(pages.read()).withColumn("chunk_id", F.xxhash64("doc_id", "page_no", "seq")))
+            work = found.join(actions.where(F.col("action").isin("new", "updated", "skipped")), "path_key", "left_semi")
+            changed = sum(counts.get(k, 0) for k in ("new", "updated", "skipped"))
+            texts = files.extract_listed(self.spark, self.root, work, changed, sum(counts.values()) - counts.get("gone", 0), extensions, max_bytes)
+            rows = work.join(texts, "path").select("path", "path_key", "ext", "size", "mtime", "status", "title", "n_pages", "error", F.unix_timestamp().cast("double").alias("indexed_at"), F.xxhash64("path_key").alias("doc_id"), "pages").persist()
+            gone = actions.where(F.col("action") != "unchanged").select(F.xxhash64("path_key").alias("doc_id"))
+            self._change(rows, gone)
             rows.unpersist()
         actions.unpersist()
         return counts
 
-    def embed(self) -> int:
-        """Vectors of all chunks by hashed words; the number of chunks."""
+    def _change(self, rows: DataFrame, gone: DataFrame) -> None:
+        """Takes documents away and adds rows of documents with their pages, and what follows from these."""
+        pages = files.page_rows(rows, "doc_id").persist()
+        chunks = chunking.chunk_pages(pages).withColumn("chunk_id", F.xxhash64("doc_id", "page_no", "seq")).persist()
+        tables = self.tables
+        made = tables.has("docs")
+        old = (tables.state().get("notes", {}).get("chunks", 0), tables.state().get("notes", {}).get("words", 0))
+        # the figures of a search follow the change: what goes is taken off, what comes is added
+        less = tables.read("chunks").join(gone.distinct(), "doc_id", "left_semi") if made else chunks.limit(0)
+        size = F.size(text.tokens(F.col("chunk")))
+        n0, w0 = less.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        n1, w1 = chunks.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        notes = {"chunks": old[0] - n0 + n1, "words": old[1] - w0 + w1}
+        tables.change({"docs": rows.drop("pages"), "pages": pages, "chunks": chunks, "postings": self._postings(chunks)}, gone, notes)
+        chunks.unpersist()
+        pages.unpersist()
+
+    @staticmethod
+    def _postings(chunks: DataFrame) -> DataFrame:
+        return lexical.postings(chunks.select(F.col("chunk_id").alias("id"), "doc_id", text.tokens(F.col("chunk")).alias("words")))
+
+    def embed(self, reset: bool = False) -> int:
+        """Vectors by hashed words of the chunks that have none; how many were made. reset: makes all of them again."""
+        tables = self.tables
+        control.check_model(tables.state().get("notes", {}).get("model"), f"hash:{self.dim}", reset)
         chunks = self.chunks()
-        vectors = chunks.select("chunk_id", retrieval.hash_embedding(F.col("chunk"), self.dim).cast("array<float>").alias("embedding"))
-        self._table("vectors").write(vectors)
-        return self._table("vectors").read().count()
+        if tables.has("vectors") and not reset:
+            chunks = chunks.join(tables.read("vectors").select("chunk_id"), "chunk_id", "left_anti")
+        vectors = chunks.select("chunk_id", "doc_id", retrieval.hash_embedding(F.col("chunk"), self.dim).cast("array<float>").alias("embedding")).persist()
+        n = vectors.count()
+        if reset:
+            tables.replace("vectors", vectors, {"model": f"hash:{self.dim}"})
+        elif n:
+            tables.change({"vectors": vectors}, notes={"model": f"hash:{self.dim}"})
+        vectors.unpersist()
+        return n
+
+    def recognise(self, images: DataFrame, engine: Callable[[bytes], str], version: int = 1, retry: tuple[str, ...] = (), minutes: float | None = None, max_pages: int = 3000, batch: int = 1000, most_failures: int = 20) -> dict[str, int]:
+        """Text of scanned pages by an engine, in batches that each are kept; how many pages had which status.
+
+        images: (doc_id, page_no, image). Goes on where an earlier run ended; ends when the time is
+        up, or after so many failures in a row. Recognised text is added behind the pages' chunks.
+        """
+        tables = self.tables
+        ledger = tables.read("ocr") if tables.has("ocr") else self.spark.createDataFrame([], OCR)
+        chars = self.pages().groupBy("doc_id", "page_no").agg(F.sum(F.length("text")).alias("chars"))
+        wanted = enrichment.ocr_candidates(self.docs(), chars, ledger, version, max_pages, retry)
+        work = wanted.join(images, ["doc_id", "page_no"]).orderBy(~F.col("first"), "doc_id", "page_no")
+
+        def save(done: DataFrame) -> None:
+            ledger = done.select("doc_id", "page_no", "status", F.lit(version).alias("version"), F.length("text").cast("long").alias("chars"))
+            passages = done.where("status = 'text'").select("doc_id", "page_no", F.lit(0).alias("place"), "text")
+            tables = self.tables
+            here = tables.read("chunks").join(passages.select("doc_id").distinct(), "doc_id", "left_semi")
+            added = incremental.append_passages(here, passages).join(here, ["doc_id", "page_no", "seq"], "left_anti")
+            added = added.withColumn("chunk_id", F.xxhash64("doc_id", "page_no", "seq")).persist()
+            n, words = added.agg(F.count("*"), F.coalesce(F.sum(F.size(text.tokens(F.col("chunk")))), F.lit(0))).first()
+            notes = tables.state().get("notes", {})
+            tables.change({"ocr": ledger, "chunks": added, "postings": self._postings(added)}, notes={"chunks": notes.get("chunks", 0) + n, "words": notes.get("words", 0) + words})
+            added.unpersist()
+
+        return enrichment.run_in_batches(work, lambda some: enrichment.recognised(some, engine), save, batch, minutes, most_failures)
+
+    def describe(self, occurrences: DataFrame, engine: Callable[[bytes], str], model: str, version: int = 1, minutes: float | None = None, batch: int = 200, most_failures: int = 20) -> dict[str, int]:
+        """Answers about pictures, one call for each distinct picture, in batches that each are kept.
+
+        occurrences: (doc_id, page_no, image_no, sha1, image). A picture that was answered in an
+        earlier run, or in another document, is not asked about again; a failed one is.
+        """
+        tables = self.tables
+        cache = tables.read("pictures") if tables.has("pictures") else self.spark.createDataFrame([], PICTURES)
+        known = cache.where((F.col("model") == model) & (F.col("version") == version)).select("sha1").distinct()
+        one = F.min_by(F.struct("doc_id", "page_no", "image_no", "image"), F.struct("doc_id", "page_no", "image_no"))
+        work = occurrences.join(known, "sha1", "left_anti").groupBy("sha1").agg(one.alias("x")).select("sha1", "x.*").orderBy("doc_id", "page_no", "image_no")
+
+        def call(some: DataFrame) -> DataFrame:
+            return enrichment.answered(some, engine).withColumns({"model": F.lit(model), "version": F.lit(version)})
+
+        def save(done: DataFrame) -> None:
+            self.tables.change({"pictures": done.where("status = 'described'").select("doc_id", "page_no", "image_no", "sha1", "model", "version", "answer")})
+
+        return enrichment.run_in_batches(work, call, save, batch, minutes, most_failures)
 
     # -------------------------------------------------------------- views
 
     def docs(self) -> DataFrame:
-        return self._table("docs").read()
+        return self.tables.read("docs")
 
     def pages(self) -> DataFrame:
-        return self._table("pages").read()
+        return self.tables.read("pages")
 
     def chunks(self) -> DataFrame:
-        return self._table("chunks").read()
+        return self.tables.read("chunks")
 
     def facets(self) -> DataFrame:
         below = F.col("path_key") if self.root is None else F.regexp_replace("path_key", "^" + self.root.replace("file://", "").rstrip("/").lower() + "/", "")
@@ -88,15 +168,18 @@ class CorpusIndex:
 
     # -------------------------------------------------------------- questions
 
-    def search(self, text: str, limit: int = 10, mode: str = "hybrid", folder: str | None = None, file_type: str | None = None, after: str | None = None, **facet: str) -> DataFrame:
+    def search(self, words: str, limit: int = 10, mode: str = "hybrid", folder: str | None = None, file_type: str | None = None, after: str | None = None, **facet: str) -> DataFrame:
         docs = self.docs()
         visible = None
         if folder or file_type or after or facet:
             visible = filters.with_filters(docs.withColumn("mtime", F.col("mtime").cast("timestamp")), self.facets(), folder, file_type, after, **facet)
-        vectors = self._table("vectors").read() if self._table("vectors").current() is not None else None
-        vector = retrieval.query_vector(self.spark, text, self.dim) if vectors is not None and mode != "keyword" else None
-        wide = parse(text, thesaurus=self.thesaurus) if self.thesaurus else None
-        return retrieval.hybrid_search(self.chunks(), parse(text), vectors if vector else None, vector, wide, visible, limit, mode)
+        tables = self.tables
+        vectors = tables.read("vectors") if tables.has("vectors") else None
+        notes = tables.state().get("notes", {})
+        figures = (notes.get("chunks", 0), notes.get("words", 0) / max(notes.get("chunks", 0), 1))
+        vector = retrieval.query_vector(self.spark, words, self.dim) if vectors is not None and mode != "keyword" else None
+        wide = parse(words, thesaurus=self.thesaurus) if self.thesaurus else None
+        return retrieval.hybrid_search(self.chunks(), parse(words), vectors if vector else None, vector, wide, visible, limit, mode, (tables.read("postings"), figures))
 
     def find_files(self, name: str, limit: int = 20) -> DataFrame:
         rows = self.docs().select(F.col("doc_id").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), "path")
@@ -105,8 +188,8 @@ class CorpusIndex:
     def read_document(self, path_key: str, first: int = 1, last: int | None = None) -> DataFrame:
         return reports.read_pages(self._pages_of(path_key), first, last).orderBy("page_no")
 
-    def find_in_document(self, path_key: str, text: str, most: int = 20) -> DataFrame:
-        return reports.find_in_document(self._pages_of(path_key), text, most).orderBy("hit")
+    def find_in_document(self, path_key: str, words: str, most: int = 20) -> DataFrame:
+        return reports.find_in_document(self._pages_of(path_key), words, most).orderBy("hit")
 
     def _pages_of(self, path_key: str) -> DataFrame:
         return self.pages().join(self.docs().where(F.col("path_key") == path_key.lower()).select("doc_id"), "doc_id", "left_semi")
@@ -130,8 +213,13 @@ class CorpusIndex:
         return reports.tree_lines(reports.folder_tree(reports.folder_counts(rows, F.col("parts")), least), title, total)
 
     def status(self) -> DataFrame:
-        embedded = self._table("vectors").current() is not None
-        return reports.index_status(self.docs(), self.chunks().withColumn("embedded", F.lit(embedded)))
+        tables = self.tables
+        chunks = self.chunks()
+        if tables.has("vectors"):
+            chunks = chunks.join(tables.read("vectors").select("chunk_id", F.lit(True).alias("embedded")), "chunk_id", "left")
+        else:
+            chunks = chunks.withColumn("embedded", F.lit(False))
+        return reports.index_status(self.docs(), chunks, tables.read("ocr") if tables.has("ocr") else None)
 
     def problems(self, offset: int = 0, limit: int = 50) -> DataFrame:
         return reports.problems(self.docs().select("path", "status", "error"), offset, limit)

@@ -120,37 +120,95 @@ def sourced_lines(cards: DataFrame) -> DataFrame:
     return lines.withColumn("section", section).where(F.startswith("line", F.lit("- ")) & known)
 
 
+def unsourced_lines(body: Column) -> Column:
+    """The bullets without a source, in the sections that must name their sources."""
+    blocks = F.split(F.concat(F.lit("\n"), body), r"\n(?=## )")
+    known = lambda b: reduce(lambda x, y: x | y, [F.startswith(b, F.lit(s)) for s in V.CARD_SOURCED])
+    bare = lambda x: F.startswith(x, F.lit("- ")) & ~F.rlike(x, F.lit(_SOURCE))
+    return F.flatten(F.transform(F.filter(blocks, known), lambda b: F.filter(F.split(b, "\n"), bare)))
+
+
 def check(cards: DataFrame, vocab_rows: DataFrame, docs: DataFrame, projects: DataFrame) -> DataFrame:
     """(file, level, message) of all rules.
 
     docs: (path_key, project, mtime); projects: (project) known to index or register. A card of an
     unknown project has that error alone, apart from being unreadable.
+
+    A card is parsed once: what the card alone decides is an array of issues, what needs a table is
+    looked up in the same pass, as rows of (kind, word) or of a path.
     """
-    issue = lambda df, message, level="error": df.select("file", F.lit(level).alias("level"), message.alias("message"))
-    unreadable = issue(cards.where("error is not null"), F.col("error"))
-    doubled = vocabulary_duplicates(vocab_rows).select(F.lit("vocabulary").alias("file"), F.lit("error").alias("level"), F.concat(F.lit("listed twice: "), "word").alias("message"))
-    good = cards.where("error is null").withColumn("project", F.element_at("fields", F.lit("project")))
-    known = projects.select(F.lower("project").alias("_p")).distinct()
-    stray = good.join(known, F.lower("project") == F.col("_p"), "left_anti")
-    good = good.join(known, F.lower("project") == F.col("_p"), "left_semi")
-    unknown = issue(stray, F.concat(F.lit("project unknown: "), "project"))
-    named = issue(good.where(fold_ascii(F.element_at(F.split(stem_of(F.col("file")), "__"), -1)) != fold_ascii(F.col("project"))), F.concat(F.lit("file name and project differ: "), "project"))
-    bare = sourced_lines(good).where(~F.rlike("line", F.lit(_SOURCE)))
-    unsourced = issue(bare, F.concat(F.lit("no [source]: "), "line"))
-    backed = good.select("file", "body", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), values(k).alias("values")) for k in V.CARD_BACKED])).alias("f")).select("file", "body", F.col("f.key").alias("key"), F.explode("f.values").alias("v"))
-    missing = backed.where(~F.contains(fold_ascii(F.col("body")), fold_ascii(F.col("v"))))
-    unbacked = issue(missing, F.concat("key", F.lit(" not in the text: "), "v"))
-    vocab = vocabulary(vocab_rows)
-    words = good.select("file", "body", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), values(key).alias("values")) for kind, key in V.CARD_WORD_LISTS])).alias("f")).select("file", "body", F.col("f.kind").alias("kind"), F.explode("f.values").alias("entry"))
-    forms = canonical(words.withColumn("word", form_of(F.col("entry"))), vocab)
-    off_list = issue(forms.where("value is null"), F.concat(F.lit("not in the vocabulary: "), "word"))
-    synonyms = vocab.groupBy("kind", "value").agg(F.collect_set("word").alias("words"))
-    said = forms.where("value is not null").join(synonyms, ["kind", "value"])
-    unsaid = issue(said.where(~F.exists("words", lambda w: F.contains(fold_ascii(F.col("body")), w))), F.concat(F.lit("not in the text: "), "entry"))
-    cited = good.select("file", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(_SOURCE), F.lit(1)))).alias("source")).where(F.contains("source", F.lit("\\")))
-    cited = cited.withColumn("path_key", path_key(F.trim(F.regexp_replace("source", r"\s*,?\s*(?:p|pp|page|pages)\.?\s*[\d ,\-–]+$", ""))))
-    lost = issue(cited.join(docs.select("path_key"), "path_key", "left_anti"), F.concat(F.lit("not indexed: "), "source"))
+    known = projects.select(F.lower("project").alias("_p")).distinct().withColumn("_known", F.lit(True))
     newest = docs.groupBy(F.lower("project").alias("_p")).agg(F.max(F.to_date("mtime")).alias("_newest"))
-    old = good.join(newest, F.lower("project") == F.col("_p")).where(F.try_to_timestamp(F.element_at("fields", F.lit("written")), F.lit("yyyy-MM-dd")).cast("date") < F.col("_newest"))
-    stale = issue(old, F.concat(F.lit("older than the newest document: "), F.col("_newest").cast("string")), "warning")
-    return reduce(DataFrame.unionByName, [unreadable, doubled, unknown, named, unsourced, unbacked, off_list, unsaid, lost, stale])
+    project = F.element_at("fields", F.lit("project"))
+    base = cards.withColumn("project", F.when(F.col("error").isNull(), project)).withColumn("_p", F.lower("project"))
+    base = base.join(known, "_p", "left").join(newest, "_p", "left")
+
+    kind = "struct<kind:string,level:string,message:string,entry:string,word:string,path:string>"
+    none = F.lit(None).cast("string")
+    make = lambda kind, level=none, message=none, entry=none, word=none, path=none: F.struct(F.lit(kind).alias("kind"), level.alias("level"), message.alias("message"), entry.alias("entry"), word.alias("word"), path.alias("path"))
+    issue = lambda message, level="error": make("issue", F.lit(level), message)
+    when = lambda test, x: F.when(test, F.array(x)).otherwise(F.array().cast(f"array<{kind}>"))
+    body = fold_ascii(F.col("body"))
+    named = when(fold_ascii(F.element_at(F.split(stem_of(F.col("file")), "__"), -1)) != fold_ascii(F.col("project")), issue(F.concat(F.lit("file name and project differ: "), "project")))
+    bare = F.transform(unsourced_lines(F.col("body")), lambda x: issue(F.concat(F.lit("no [source]: "), x)))
+
+    def unbacked(key: str) -> Column:
+        missing = F.filter(values(key), lambda v: ~F.contains(body, fold_ascii(v)))
+        return F.transform(missing, lambda v: issue(F.concat(F.lit(f"{key} not in the text: "), v)))
+
+    written = F.try_to_timestamp(F.element_at("fields", F.lit("written")), F.lit("yyyy-MM-dd")).cast("date")
+    stale = when(written < F.col("_newest"), issue(F.concat(F.lit("older than the newest document: "), F.col("_newest").cast("string")), "warning"))
+
+    def entries(name: str, key: str) -> Column:
+        return F.transform(values(key), lambda e: make(name, entry=e, word=form_of(e)))
+
+    cited = F.filter(F.array_distinct(F.regexp_extract_all("body", F.lit(_SOURCE), F.lit(1))), lambda x: F.contains(x, F.lit("\\")))
+    place = lambda x: path_key(F.trim(F.regexp_replace(x, r"\s*,?\s*(?:p|pp|page|pages)\.?\s*[\d ,\-–]+$", "")))
+    sources = F.transform(cited, lambda x: make("path", entry=x, path=place(x)))
+    all_of = F.concat(named, bare, *map(unbacked, V.CARD_BACKED), *[entries(n, k) for n, k in V.CARD_WORD_LISTS], sources, stale)
+    alone = lambda message: F.array(issue(message))
+    found = F.when(F.col("error").isNotNull(), alone(F.col("error"))).when(F.col("_known").isNull(), alone(F.concat(F.lit("project unknown: "), "project"))).otherwise(all_of)
+    each = base.select("file", body.alias("_body"), F.explode(found).alias("x")).select("file", "_body", "x.*")
+
+    vocab = vocabulary(vocab_rows)
+    synonyms = vocab.groupBy("kind", "value").agg(F.collect_set("word").alias("_words"))
+    each = canonical(each, vocab).join(synonyms, ["kind", "value"], "left")
+    each = each.join(docs.select("path_key", F.lit(True).alias("_indexed")).distinct(), F.col("path") == F.col("path_key"), "left")
+    message = (
+        F.when(F.col("kind") == "issue", F.col("message"))
+        .when(F.col("kind") == "path", F.when(F.col("_indexed").isNull(), F.concat(F.lit("not indexed: "), "entry")))
+        .when(F.col("value").isNull(), F.concat(F.lit("not in the vocabulary: "), "word"))
+        .when(~F.exists("_words", lambda w: F.contains(F.col("_body"), w)), F.concat(F.lit("not in the text: "), "entry"))
+    )
+    own = each.select("file", F.coalesce("level", F.lit("error")).alias("level"), message.alias("message")).where("message is not null")
+    doubled = vocabulary_duplicates(vocab_rows).select(F.lit("vocabulary").alias("file"), F.lit("error").alias("level"), F.concat(F.lit("listed twice: "), "word").alias("message"))
+    return own.unionByName(doubled)
+
+
+def written_card(cards: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project, card, note): the card of a project or subproject: its own, a note if that cannot be read, else its parent's.
+
+    projects: (project, parent), parent null for a project.
+    """
+    stem = fold_ascii(F.element_at(F.split(stem_of(F.col("file")), "__"), -1))
+    mine = cards.select(stem.alias("_k"), "file", "body", "error").groupBy("_k").agg(F.min_by(F.struct("file", "body", "error"), "file").alias("c"))
+    out = projects.withColumn("_k", fold_ascii(F.col("project"))).join(mine, "_k", "left").drop("_k").withColumnRenamed("c", "own")
+    out = out.withColumn("_k", fold_ascii(F.col("parent"))).join(mine, "_k", "left").drop("_k").withColumnRenamed("c", "above")
+    readable = lambda c: F.col(c).isNotNull() & F.col(f"{c}.error").isNull()
+    card = F.when(readable("own"), F.col("own.body")).when(F.col("own").isNull() & readable("above"), F.col("above.body"))
+    note = F.when(F.col("own.error").isNotNull(), F.concat(F.lit("the card cannot be read: "), F.col("own.error"))).when(F.col("own").isNull() & readable("above"), F.concat(F.lit("the card of "), F.col("parent")))
+    return out.select("project", "parent", card.alias("card"), note.alias("note"))
+
+
+def coverage(cards: DataFrame, projects: DataFrame) -> DataFrame:
+    """(cards, unreadable, projects, with_card): one row on how far the catalog covers the projects known."""
+    have = cards.where("error is null").select(fold_ascii(F.element_at("fields", F.lit("project"))).alias("_k")).distinct()
+    all_ = projects.select(fold_ascii(F.col("project")).alias("_k")).where("_k is not null").distinct()
+    covered = all_.join(have.withColumn("_has", F.lit(True)), "_k", "left").agg(F.count("*").alias("projects"), F.count("_has").alias("with_card"))
+    counts = cards.agg(F.count("*").alias("cards"), F.count("error").alias("unreadable"))
+    return counts.crossJoin(F.broadcast(covered))
+
+
+def unreadable(cards: DataFrame) -> DataFrame:
+    """(file, error) of the cards that cannot be read."""
+    return cards.where("error is not null").select("file", "error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,6 +53,40 @@ def recognised(pages: DataFrame, engine: Callable[[bytes], str]) -> DataFrame:
     return text.select("doc_id", "page_no", status.alias("status"), "text", "error")
 
 
+def run_in_batches(work: DataFrame, call: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], None], batch: int, minutes: float | None = None, most_failures: int | None = None) -> dict[str, int]:
+    """Does ordered work in batches and keeps each before the next; how many rows had which status.
+
+    call: rows to results with a status, ``error`` for a failure; save: keeps a batch's results. The
+    run ends when the time is up, or when all of the last ``most_failures`` results (or of a whole
+    batch, if that is smaller) are failures: then the engine is down, not a page bad. What is not
+    done is found again by the next run. Work is fixed when the run begins.
+    """
+    end = None if minutes is None else time.monotonic() + 60 * minutes
+    order = work.withColumn("_place", F.monotonically_increasing_id()).persist()
+    counts: dict[str, int] = {}
+    failures, after = 0, -1
+    try:
+        while end is None or time.monotonic() < end:
+            some = order.where(F.col("_place") > after).orderBy("_place").limit(batch).persist()
+            last = some.agg(F.max("_place")).first()[0]
+            if last is None:
+                break
+            done = call(some.drop("_place")).persist()
+            each = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
+            save(done)
+            for k, n in each.items():
+                counts[k] = counts.get(k, 0) + n
+            done.unpersist()
+            some.unpersist()
+            after = last
+            failures = failures + each["error"] if set(each) == {"error"} else 0
+            if most_failures is not None and failures >= min(most_failures, batch):
+                break
+    finally:
+        order.unpersist()
+    return counts
+
+
 def is_picture_page(share: Column, native_chars: Column, ocr_chars: Column, ocr_enabled: bool) -> Column:
     """Whether a page is to be described: by its picture share if it has text, else if recognition found little."""
     little = ocr_chars < V.PICTURE_TEXT_CHARS
@@ -86,6 +121,42 @@ def described(occurrences: DataFrame, cache: DataFrame, describe: Callable[[byte
     return occurrences.drop("image").join(every, "sha1", "left"), new.where("answer is not null").select("sha1", F.lit(model).alias("model"), F.lit(version).alias("version"), "answer")
 
 
+def answered(pictures: DataFrame, describe: Callable[[bytes], str]) -> DataFrame:
+    """Adds answer and status (described or error) to pictures (..., image), one call each; image goes."""
+    names = [c for c in pictures.columns if c != "image"]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            answers = []
+            for image in batch.column("image").to_pylist():
+                try:
+                    answers.append(describe(image))
+                except Exception:  # noqa: BLE001 - a failed call is a result, and is tried again by a later run
+                    answers.append(None)
+            states = ["error" if a is None else "described" for a in answers]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(answers, pa.string()), pa.array(states, pa.string())], names=[*names, "answer", "status"])
+
+    return pictures.mapInArrow(run, pictures.drop("image").limit(0).withColumn("answer", F.lit("")).withColumn("status", F.lit("")).schema)
+
+
+def picture_jobs(candidates: DataFrame, chunks: DataFrame, picture_chunks: DataFrame, ocr_pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text, native_chars, ocr_chars): what goes along with the pictures of a page.
+
+    text: the page's chunks in order, without those that describe pictures; native_chars: without
+    recognised ones too. chunks: (chunk_id, doc_id, page_no, seq, chunk); picture_chunks: (chunk_id);
+    ocr_pages: (doc_id, page_no, first_seq): from which chunk on the page's text was recognised.
+    """
+    texts = chunks.join(picture_chunks.select("chunk_id"), "chunk_id", "left_anti").join(ocr_pages, ["doc_id", "page_no"], "left")
+    is_ocr = F.coalesce(F.col("seq") >= F.col("first_seq"), F.lit(False))
+    each = texts.groupBy("doc_id", "page_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("text"),
+        F.sum(F.when(is_ocr, F.lit(0)).otherwise(F.length("chunk"))).alias("native_chars"),
+        F.sum(F.when(is_ocr, F.length("chunk")).otherwise(F.lit(0))).alias("ocr_chars"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return candidates.select("doc_id", "page_no").distinct().join(each, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text"), zero("native_chars"), zero("ocr_chars"))
+
+
 def first_uses(occurrences: DataFrame, order: list[str]) -> DataFrame:
     """Adds use: described for the first occurrence of a picture, reused for later ones."""
     rank = F.row_number().over(Window.partitionBy("sha1").orderBy(*order))

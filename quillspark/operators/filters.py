@@ -59,6 +59,11 @@ def projects_with_machine(machines: DataFrame, register: DataFrame, value: str)
     return seen.union(sold).where("project is not null").distinct()
 
 
+def pictures_only(chunks: DataFrame, picture_chunks: DataFrame) -> DataFrame:
+    """The chunks that tell what a picture shows (chunk_id)."""
+    return chunks.join(picture_chunks.select("chunk_id"), "chunk_id", "left_semi")
+
+
 def with_filters(docs: DataFrame, facets: DataFrame, folder: str | None = None, file_type: str | None = None, after: str | None = None, machines: DataFrame | None = None, projects: DataFrame | None = None, **wanted: str) -> DataFrame:
     """docs that satisfy all filters; facet filters are semi-joins, so documents without facets drop out.
 

@@ -5,10 +5,11 @@ The score of a row is the sum over the query's distinct phrases of
 (n + 0.5)), at least 1e-6; f counts a phrase's occurrences, n the rows that have it, N and the
 average length are those of all rows, whatever is filtered later.
 
-A search is one scan: the phrase counts are array expressions over the tokens, the corpus figures
+A search of plain rows is one scan, as no index is there: the phrase counts are array expressions over the tokens, the corpus figures
 one aggregated row, and the best rows come from a top-k operator. What is exchanged is a row's id,
-length and counts, never its text, so cost does not depend on how frequent the terms are. Ids are
-not null.
+length and counts, never its text, so cost does not depend on how frequent the terms are. A stored index
+(``postings``) is searched by ``search_postings`` instead, which reads the query's terms alone. Ids
+are not null.
 """
 
 from __future__ import annotations
@@ -58,14 +59,7 @@ def scored(rows: DataFrame, query: Query) -> DataFrame:
     # the few counts of a row are exchanged once and read by both branches, so texts are tokenised once
     counted = counted.repartition("id")
     figures = counted.agg(F.count("id").alias("_rows"), F.avg("length").alias("_average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    at = {p: i for i, p in enumerate(phrases)}
-    has = [reduce(lambda a, b: a | b, [F.col(f"f{at[p]}") > 0 for p in g.phrases]) for g in query.terms]
-    match = reduce(lambda a, b: (a & b) if query.mode == "AND" else (a | b), has)
-    # no term matches a row of no words, so an empty corpus divides nothing by its average
-    weight = F.lit(V.BM25_K1) * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.col("_average"))
-    parts = [F.when(F.col(f"f{i}") > 0, idf(F.col("_rows"), F.col(f"n{i}")) * F.col(f"f{i}") * (V.BM25_K1 + 1) / (F.col(f"f{i}") + weight)).otherwise(F.lit(0.0)) for i in range(len(phrases))]
-    # one row, whatever the data
-    return counted.where(match).crossJoin(F.broadcast(figures)).select("id", reduce(lambda a, b: a + b, parts).alias("score"))
+    return _weighed(counted, query, phrases, figures)
 
 
 def search(rows: DataFrame, query: Query, limit: int = V.KEYWORD_LIST) -> DataFrame:
@@ -80,9 +74,16 @@ def find_names(files: DataFrame, query: Query, limit: int = 20) -> DataFrame:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """The inverted index of (id, words): term, id, tf and positions from 0."""
-    each = rows.select("id", F.posexplode("words").alias("place", "term"))
-    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
+    """The inverted index of (id, words, ...): term, id, tf, positions from 0, the row's length and its other columns."""
+    more = [c for c in rows.columns if c not in ("id", "words")]
+    each = rows.select("id", *more, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("place", "term"))
+    return each.groupBy("term", "id", "length", *more).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
+
+
+def corpus_figures(rows: DataFrame) -> tuple[int, float]:
+    """The number of rows of (id, words), and their average length: what a stored index needs beside its terms."""
+    r = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average")).first()
+    return r["n"], r["average"] or 0.0
 
 
 def term_stats(rows: DataFrame) -> DataFrame:
@@ -91,23 +92,26 @@ def term_stats(rows: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def search_postings(index: DataFrame, lengths: DataFrame, query: Query, limit: int = V.KEYWORD_LIST) -> DataFrame:
-    """The same search on a stored inverted index (term, id, tf, positions) and lengths (id, length).
+def scored_postings(index: DataFrame, figures: tuple[int, float], query: Query) -> DataFrame:
+    """(id, score) of the rows that match, from a stored inverted index (term, id, length, positions), with its other columns.
 
-    Reads only the query's terms: the term filter reaches the scan.
+    Reads the query's terms only: the term filter reaches the scan, and files sorted by term are
+    skipped. figures: corpus_figures() of all rows, kept when the index was made.
     """
     phrases = query.phrases()
+    if not phrases:
+        return index.drop("term", "tf", "positions", "length").withColumn("score", F.lit(0.0)).where(F.lit(False))
     wanted = sorted({w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)})
     heads = sorted({p.words[-1] for p in phrases if p.prefix})
-    keep = F.col("term").isin(wanted) if wanted else F.lit(False)
+    wants = F.col("term").isin(wanted) if wanted else F.lit(False)
     for h in heads:
-        keep = keep | F.startswith("term", F.lit(h))
+        wants = wants | F.startswith("term", F.lit(h))
     # a row's tokens at the query's words only: enough to count phrases by position
-    some = index.where(keep).groupBy("id").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p, F.col("term")))))).alias("at"))
+    entries = F.map_from_entries(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p, F.col("term"))))))
+    more = [c for c in index.columns if c not in ("term", "id", "tf", "positions", "length")]
+    some = index.where(wants).groupBy("id", *more).agg(F.max("length").alias("length"), entries.alias("at"))
 
     def count(p: Phrase) -> Column:
-        entries = F.map_entries("at")
-
         def fits(e: Column) -> Column:
             tests = []
             for i, w in enumerate(p.words):
@@ -115,15 +119,28 @@ def search_postings(index: DataFrame, lengths: DataFrame, query: Query, limit: i
                 tests.append(F.coalesce(F.startswith(here, F.lit(w)) if p.prefix and i == len(p.words) - 1 else here == w, F.lit(False)))
             return reduce(lambda a, b: a & b, tests)
 
-        return F.size(F.filter(entries, fits)).cast("long")
+        return F.size(F.filter(F.map_entries("at"), fits)).cast("long")
 
-    counted = some.select("id", *[count(p).alias(f"f{i}") for i, p in enumerate(phrases)]).join(lengths, "id")
-    figures = lengths.agg(F.count("*").alias("_rows"), F.avg("length").alias("_average"))
+    counted = some.select("id", *more, "length", *[count(p).alias(f"f{i}") for i, p in enumerate(phrases)])
+    # exchanged once and read by both branches: the rows that match, and how many have each phrase
+    counted = counted.repartition("id")
     having = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    weight = F.lit(V.BM25_K1) * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.col("_average"))
-    parts = [F.when(F.col(f"f{i}") > 0, idf(F.col("_rows"), F.col(f"n{i}")) * F.col(f"f{i}") * (V.BM25_K1 + 1) / (F.col(f"f{i}") + weight)).otherwise(F.lit(0.0)) for i in range(len(phrases))]
+    rows, average = figures
+    return _weighed(counted, query, phrases, having.select(F.lit(rows).cast("long").alias("_rows"), F.lit(float(average)).alias("_average"), "*"))
+
+
+def _weighed(counted: DataFrame, query: Query, phrases: list[Phrase], figures: DataFrame) -> DataFrame:
+    """(id, score) of counted (id, length, f0, f1, ...); figures is one row, whatever the data."""
     at = {p: i for i, p in enumerate(phrases)}
     has = [reduce(lambda a, b: a | b, [F.col(f"f{at[p]}") > 0 for p in g.phrases]) for g in query.terms]
     match = reduce(lambda a, b: (a & b) if query.mode == "AND" else (a | b), has)
-    out = counted.where(match).crossJoin(F.broadcast(figures)).crossJoin(F.broadcast(having)).select("id", reduce(lambda a, b: a + b, parts).alias("score"))
-    return out.orderBy(F.col("score").desc(), "id").limit(limit)
+    # no term matches a row of no words, so an empty corpus divides nothing by its average
+    weight = F.lit(V.BM25_K1) * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.col("_average"))
+    parts = [F.when(F.col(f"f{i}") > 0, idf(F.col("_rows"), F.col(f"n{i}")) * F.col(f"f{i}") * (V.BM25_K1 + 1) / (F.col(f"f{i}") + weight)).otherwise(F.lit(0.0)) for i in range(len(phrases))]
+    more = [c for c in counted.columns if c not in ("id", "length", *[f"f{i}" for i in range(len(phrases))])]
+    return counted.where(match).crossJoin(F.broadcast(figures)).select("id", *more, reduce(lambda a, b: a + b, parts).alias("score"))
+
+
+def search_postings(index: DataFrame, figures: tuple[int, float], query: Query, limit: int = V.KEYWORD_LIST) -> DataFrame:
+    """The search of search() on a stored inverted index."""
+    return scored_postings(index, figures, query).orderBy(F.col("score").desc(), "id").limit(limit)

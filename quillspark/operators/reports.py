@@ -47,6 +47,52 @@ def project_header(docs: DataFrame, project: str) -> DataFrame:
     return docs.where(mine).agg(F.count("*").alias("docs"), F.min("mtime").alias("oldest"), F.max("mtime").alias("newest"), F.max("collection").alias("collection"))
 
 
+def register_summary(register: DataFrame, most: int = 2) -> DataFrame:
+    """(rows, linked, first_year, last_year, clients, leading): a register in one row; leading are its most frequent clients."""
+    named = register.where("client <> ''").groupBy("client").agg(F.count("*").alias("n"))
+    top = named.orderBy(F.col("n").desc(), "client").limit(most)
+    leading = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "client"))), lambda x: F.concat(x["client"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")"))), ", ").alias("leading"))
+    clients = named.agg(F.count("*").alias("clients"))
+    totals = register.agg(F.count("*").alias("rows"), F.count("project").alias("linked"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return totals.crossJoin(F.broadcast(clients)).crossJoin(F.broadcast(leading))
+
+
+def project_cards(docs: DataFrame, register: DataFrame, machines: DataFrame, votes: DataFrame, written: DataFrame, most: int = V.MAP_ROWS) -> DataFrame:
+    """(project, part, place, line): what there is to say about every project, part by part.
+
+    docs: (project, subproject, collection, doc_type, mtime, path); register: with project, reg_project,
+    name, client, country, year; machines: (project, machines); votes: (number, project, docs, named);
+    written: written_card(). Parts: header, register, moved (rows that the register has here and the
+    documents elsewhere), machines, numbers, types (with the newest document of each), card, others.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+
+    def part(name: str, rows: DataFrame, line: Column, *order: Column) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("project").orderBy(*order, line)) if order else F.lit(1)
+        return rows.select("project", F.lit(name).alias("part"), rank.alias("place"), line.alias("line")).where(F.col("place") <= most)
+
+    mine = docs.where("project is not null")
+    date = lambda c: F.date_format(c, "yyyy-MM-dd")
+    header = mine.groupBy("project").agg(F.count("*").alias("docs"), date(F.min("mtime")).alias("oldest"), date(F.max("mtime")).alias("newest"), F.max("collection").alias("collection"), F.count_distinct("subproject").alias("subs"))
+    parts = [part("header", header, F.concat_ws(" · ", F.concat(text("docs"), F.lit(" documents")), F.concat("oldest", F.lit(" to "), "newest"), "collection", F.concat(text("subs"), F.lit(" subprojects"))))]
+    rows = register.select("project", "reg_project", F.concat_ws(" · ", "name", "client", "country", F.col("year").cast("string")).alias("_line"), "year")
+    parts.append(part("register", rows.where("project is not null"), F.col("_line"), F.col("year").desc_nulls_last()))
+    moved = rows.where("reg_project is not null").select(F.col("reg_project").alias("project"), F.concat("_line", F.lit(" → "), "project").alias("_line"), "year")
+    parts.append(part("moved", moved, F.col("_line"), F.col("year").desc_nulls_last()))
+    parts.append(part("machines", machines.where(F.size("machines") > 0), F.array_join("machines", ", ")))
+    parts.append(part("numbers", votes.where("project is not null"), F.concat("number", F.lit(" ("), text("docs"), F.lit(", "), text("named"), F.lit(" by name)")), F.col("docs").desc(), F.col("number")))
+    types = mine.where("doc_type is not null").groupBy("project", "doc_type").agg(F.count("*").alias("n"), F.min_by("path", F.struct((-F.unix_micros(F.col("mtime").cast("timestamp"))).alias("t"), "path")).alias("newest"))
+    parts.append(part("types", types, F.concat("doc_type", F.lit(": "), text("n"), F.lit(", newest "), "newest"), F.col("n").desc(), F.col("doc_type")))
+    parts.append(part("card", written.where("card is not null or note is not null"), F.concat_ws(" — ", "note", "card")))
+    who = F.explode(F.array(F.struct(F.lit("c").alias("kind"), F.lower("client").alias("who")), F.struct(F.lit("g").alias("kind"), F.lower("grp").alias("who"))))
+    keyed = register.where("project is not null").select("project", "year", who.alias("w")).where("w.who <> ''").groupBy("project", "w").agg(F.max("year").alias("year"))
+    # of a client or group its newest projects, so a frequent one is no group of all pairs: one more than are shown, as one may be the project itself
+    newest = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("w").orderBy(F.col("year").desc_nulls_last(), "project"))).where(F.col("_r") <= most + 1)
+    pairs = keyed.select("project", "w").join(newest.select(F.col("project").alias("other"), "w", "year"), "w").where("project <> other").groupBy("project", "other").agg(F.max("year").alias("year"))
+    parts.append(part("others", pairs, F.col("other"), F.col("year").desc_nulls_last()))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def newest_per_type(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
     """(doc_type, path, mtime): the newest document of each type, ties by path."""
     some = docs if types is None else docs.where(F.col("doc_type").isin(types))
@@ -79,26 +125,28 @@ def folder_tree(counts: DataFrame, least: int = V.MAP_MIN_DOCS) -> DataFrame:
 
 
 def tree_lines(tree: DataFrame, root: str, total: int, budget: int = V.MAP_CHARS) -> list[str]:
-    """The tree as indented lines, cut to a number of characters. Its rows are bounded by depth and size."""
-    below: dict[str, list] = {}
-    for r in tree.collect():
-        below.setdefault(r.parent, []).append(r)
-    lines = [f"{root} ({total} documents)"]
-
-    def walk(parent: str, level: int) -> None:
-        for r in sorted(below.get(parent, []), key=lambda r: (r.folder is None, (r.folder or "").lower(), r.folder or "")):
-            if r.folder is None:
-                lines.append("  " * level + f"+ {r.smaller} smaller folder{'s' * (r.smaller != 1)} ({r.docs} document{'s' * (r.docs != 1)})")
-            else:
-                lines.append("  " * level + f"{r.folder.rsplit('/', 1)[-1]} ({r.docs})")
-                walk(r.folder, level + 1)
+    """The tree as indented lines, cut to a number of characters.
 
-    walk("", 1)
+    Only the rows that can be shown come to the driver: the first of the walk's order, in which a
+    folder comes before what is in it and a parent's rest comes last.
+    """
+    part = lambda x: F.struct(F.lit(False).alias("rest"), F.lower(x).alias("low"), x.alias("name"))
+    parts = lambda c: F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), "/"), lambda x: x != ""), part)
+    rest = F.array(F.struct(F.lit(True).alias("rest"), F.lit("").alias("low"), F.lit("").alias("name")))
+    walk = tree.withColumn("_walk", F.when(F.col("folder").isNull(), F.concat(parts(F.col("parent")), rest)).otherwise(parts(F.col("folder"))))
+    lines = [f"{root} ({total} documents)"]
+    # a line has at least "x (1)" and its end
+    for r in walk.orderBy("_walk").limit(budget // 6 + 1).collect():
+        indent = "  " * len(r._walk)
+        if r.folder is None:
+            lines.append(f"{indent}+ {r.smaller} smaller folder{'s' * (r.smaller != 1)} ({r.docs} document{'s' * (r.docs != 1)})")
+        else:
+            lines.append(f"{indent}{r.folder.rsplit('/', 1)[-1]} ({r.docs})")
     out, used = [], 0
-    for i, line in enumerate(lines):
+    for line in lines:
         used += len(line) + 1
         if used > budget:
-            return [*out, f"... {len(lines) - i} more lines"]
+            return [*out, f"... {tree.count() + 1 - len(out)} more lines"]
         out.append(line)
     return out
 

@@ -19,30 +19,43 @@ def dot(vector: Column | str, other: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
 
 
-def dense_search(vectors: DataFrame, query: list[float], limit: int = V.DENSE_LIST, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact search: (id, score) of the largest dot products, ties by id. Filter vectors before, not after."""
-    scored = vectors.select(F.col(id_col).alias("id"), dot(vector, query).alias("score"))
+def dense_search(vectors: DataFrame, query: list[float], limit: int = V.DENSE_LIST, id_col: str = "vec_id", vector: str = "embedding", more: tuple[str, ...] = ()) -> DataFrame:
+    """Exact search: (id, score) of the largest dot products, ties by id, and other columns. Filter vectors before, not after."""
+    scored = vectors.select(F.col(id_col).alias("id"), *more, dot(vector, query).alias("score"))
     return scored.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def dense_search_many(vectors: DataFrame, queries: list[list[float]], limit: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, id, score) for a block of queries: one matrix product per Arrow batch, and the best of
-    each batch only leave the task."""
+    """(query, id, score) for a block of queries: one matrix product per Arrow batch.
+
+    A task keeps the best of all its batches for each query, and hands them on once; the bests of the
+    tasks are merged in two levels, so what one task sorts does not grow with the vectors.
+    """
     wanted = np.asarray(queries, np.float64).T
+    asked = wanted.shape[1]
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) > 4 * limit:
+            floor = np.partition(scores, len(scores) - limit)[len(scores) - limit]
+            ids, scores = ids[scores >= floor], scores[scores >= floor]
+        order = np.lexsort((ids, -scores))[:limit]
+        return ids[order], scores[order]
 
     def run(batches):
+        top = [(np.zeros(0, np.int64), np.zeros(0))] * asked
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            width = len(wanted)
-            matrix = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, width)
-            scores = matrix @ wanted
-            for q in range(wanted.shape[1]):
-                order = np.lexsort((ids, -scores[:, q]))[:limit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q), pa.int32()), pa.array(ids[order], pa.int64()), pa.array(scores[order, q])], names=["query", "id", "score"])
+            scores = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, len(wanted)) @ wanted
+            top = [best(np.concatenate([i, ids]), np.concatenate([s, scores[:, q]])) for q, (i, s) in enumerate(top)]
+        for q, (ids, scores) in enumerate(top):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q), pa.int32()), pa.array(ids, pa.int64()), pa.array(scores)], names=["query", "id", "score"])
 
-    some = vectors.select(F.col(id_col).cast("long").alias("id"), vector).where(F.size(vector) == len(wanted)).mapInArrow(run, "query int, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
-    return some.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
+    out = vectors.select(F.col(id_col).cast("long").alias("id"), vector).where(F.size(vector) == len(wanted)).mapInArrow(run, "query int, id long, score double")
+    out = out.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for keys in (("query", "_shard"), ("query",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "id"))
+        out = out.withColumn("_r", rank).where(F.col("_r") <= limit)
+    return out.drop("_r", "_shard")
 
 
 def dense_search_blocks(vectors: DataFrame, asked: DataFrame, limit: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
@@ -128,32 +141,65 @@ def hybrid_search(
     visible: DataFrame | None = None,
     limit: int = 10,
     mode: str = "hybrid",
+    index: tuple[DataFrame, tuple[int, float]] | None = None,
 ) -> DataFrame:
     """Keyword, thesaurus and dense lists fused, filtered, capped per document and limited.
 
     chunks: (chunk_id, doc_id, chunk); vectors: (chunk_id, embedding); visible: the doc_ids that
     filters and exclusions leave. Filters apply before the dense list, so it is never too short.
-    mode: hybrid, keyword or semantic. Texts are joined last, to the few hits.
+    mode: hybrid, keyword or semantic.
+
+    index: a stored inverted index of the chunks with their doc_ids, and its figures; then vectors
+    have a doc_id too. Without it all chunks are scanned. With it, the postings of the query's terms
+    and the vectors are read, the lists (of bounded length) come to the driver, and of the chunks
+    only those of the hits are read, 30 at most.
     """
-    if not 1 <= limit <= 30:
-        limit = min(max(limit, 1), 30)
-    open_ = chunks if visible is None else chunks.join(visible.select("doc_id").distinct(), "doc_id", "left_semi")
+    limit = min(max(limit, 1), 30)
+    spark = chunks.sparkSession
+    shown = None if visible is None else visible.select("doc_id").distinct()
+    only = lambda rows: rows if shown is None else rows.join(shown, "doc_id", "left_semi")
+    owners = chunks.select(F.col("chunk_id").alias("id"), "doc_id")
+    words = None if index is not None else lexical.tokenised(chunks, "chunk_id", "chunk")
+    known: list = []
+
+    def listed(found: DataFrame) -> DataFrame:
+        if index is None:
+            return found
+        rows = found.select("id", "doc_id", "score").collect()
+        known.extend((r["id"], r["doc_id"]) for r in rows)
+        return spark.createDataFrame(rows, "id long, doc_id long, score double")
+
+    def keyword(q: Query) -> DataFrame:
+        if index is not None:
+            found = only(lexical.scored_postings(index[0], index[1], q))
+        else:
+            found = lexical.scored(words, q)
+            found = found if shown is None else only(found.join(owners, "id")).drop("doc_id")
+        return listed(found.orderBy(F.col("score").desc(), "id").limit(V.KEYWORD_LIST))
+
     lists = []
     if mode in ("hybrid", "keyword"):
-        words = lexical.tokenised(chunks, "chunk_id", "chunk")
-        allowed = open_.select(F.col("chunk_id").alias("id"))
-        top = lambda q: lexical.scored(words, q).join(allowed, "id", "left_semi").orderBy(F.col("score").desc(), "id").limit(V.KEYWORD_LIST)
-        lists.append(ranked(top(query), "keyword", 0))
+        lists.append(ranked(keyword(query), "keyword", 0))
         if expanded is not None and expanded.expanded:
-            lists.append(ranked(top(expanded), "thesaurus", 1, V.THESAURUS_WEIGHT))
+            lists.append(ranked(keyword(expanded), "thesaurus", 1, V.THESAURUS_WEIGHT))
     if mode in ("hybrid", "semantic") and vectors is not None and query_vector is not None:
-        some = vectors.join(open_.select("chunk_id"), "chunk_id", "left_semi")
-        lists.append(ranked(dense_search(some, query_vector, V.DENSE_LIST if visible is None else V.DENSE_LIST_FILTERED, "chunk_id"), "semantic", 2))
+        some = only(vectors) if index is not None else vectors.join(only(chunks.select("chunk_id", "doc_id")), "chunk_id", "left_semi")
+        near = dense_search(some, query_vector, V.DENSE_LIST if visible is None else V.DENSE_LIST_FILTERED, "chunk_id", more=("doc_id",) if index is not None else ())
+        lists.append(ranked(listed(near), "semantic", 2))
     if not lists:
         raise ValueError("no list to search: dense search needs vectors and a query vector")
-    fused = fuse(lists).join(open_.select(F.col("chunk_id").alias("id"), "doc_id"), "id")
-    hits = cap_per_document(fused, limit=limit)
-    texts = chunks.select(F.col("chunk_id").alias("id"), "chunk")
+    if index is not None:
+        owners = spark.createDataFrame(sorted(set(known)), "id long, doc_id long")
+    hits = cap_per_document(fuse(lists).join(owners, "id"), limit=limit)
+    texts = chunks.select(F.col("chunk_id").alias("id"), "doc_id", "chunk")
+    if index is not None:
+        few = hits.collect()
+        hits = spark.createDataFrame(few, hits.schema)
+        ids = [r["id"] for r in few]
+        # chunks and vectors are sorted by document, so both conditions skip files
+        texts = texts.where(F.col("doc_id").isin([r["doc_id"] for r in few]) & F.col("id").isin(ids))
+        vectors = None if vectors is None else vectors.where(F.col("doc_id").isin([r["doc_id"] for r in few]) & F.col("chunk_id").isin(ids))
+    texts = texts.drop("doc_id")
     words = [w for p in query.phrases() for w in p.words]
     out = hits.join(texts, "id").withColumn("snippet", snippet(F.col("chunk"), words)).drop("chunk")
     if vectors is not None and query_vector is not None:

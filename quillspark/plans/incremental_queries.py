@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import cards, enrichment, incremental
+from quillspark.operators import enrichment, incremental
 from quillspark.plans import adapters
 from quillspark.plans.registry import query
-from quillspark.session import read_table
+from quillspark.session import read_table, shared_folder
 
 _OLD = "old AS (SELECT o_orderkey::VARCHAR AS path_key, o_custkey AS size, epoch(o_orderdate)::DOUBLE AS mtime, CASE WHEN o_orderkey % 50 = 0 THEN 'error' ELSE 'ok' END AS status FROM orders WHERE o_orderkey % 10 > 0)"
 _NEW = "new AS (SELECT o_orderkey::VARCHAR AS path_key, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS size, epoch(o_orderdate)::DOUBLE + CASE WHEN o_orderkey % 11 = 0 THEN 0.005 WHEN o_orderkey % 13 = 0 THEN 5 ELSE 0 END AS mtime FROM orders WHERE o_orderkey % 9 > 0)"
@@ -122,65 +122,12 @@ def page_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.line_pages(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.sum(F.length("text")).alias("chars"))
 
 
-# ------------------------------------------------------------------ cards
-
-_CARD_SQL = """cards AS (SELECT conv_id, 'c' || conv_id || '.md' AS file, role, text FROM conversations WHERE turn = 0)"""
-
-
-def _card_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "conversations").where("turn = 0")
-    i = F.col("conv_id")
-    head = F.concat(
-        F.lit("---\ntype: card\nproject: c"), i.cast("string"), F.lit("\nstatus: "), F.when(i % 5 == 0, "draft").when(i % 2 == 0, "reviewed").otherwise("unreviewed"),
-        F.when(i % 7 == 0, F.lit("")).otherwise(F.lit("\nwritten: 2024-05-01")), F.lit("\nread: "), (i % 9).cast("string"),
-        F.lit("\nmachines: [Paloma "), (i % 4).cast("string"), F.lit("R (x, y), Hector]\nyears: "), (F.lit(1990) + i % 30).cast("string"), F.lit("\n---\n"),
-    )
-    body = F.concat(F.lit("## A. Facts\n- "), F.when(i % 3 == 0, F.lit("sourced [a, p. 2]")).otherwise(F.lit("bare")), F.lit("\n## D. Rest\n- free\n"))
-    return c.select(F.concat(F.lit("c"), i.cast("string"), F.lit(".md")).alias("file"), F.concat(head, body).alias("text"))
-
-
-_CARD_ERROR = "CASE WHEN conv_id % 7 = 0 THEN 'required header field missing: written' WHEN conv_id % 5 = 0 THEN 'status must be unreviewed or reviewed, not draft' END"
-
-
-@query("card_parse", f"WITH {_CARD_SQL} SELECT file, 'Paloma ' || (conv_id % 4) || 'R (x, y)|Hector' AS machines, (conv_id % 9)::VARCHAR AS read, {_CARD_ERROR} AS error FROM cards")
-def card_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = cards.parse_cards(_card_files(spark, sf_dir))
-    return parsed.select("file", F.array_join(cards.values("machines"), "|").alias("machines"), F.element_at("fields", F.lit("read")).alias("read"), "error")
-
-
-@query("catalog_filter", f"WITH {_CARD_SQL} SELECT file FROM cards WHERE {_CARD_ERROR} IS NULL AND conv_id % 2 = 0 AND conv_id % 4 = 2 AND 1990 + conv_id % 30 BETWEEN 1995 AND 2012")
-def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cards.catalog(cards.parse_cards(_card_files(spark, sf_dir)), status="Reviewed", first_year=1995, last_year=2012, machines="paloma 2r").select("file")
-
-
-@query("card_check", f"""WITH {_CARD_SQL}, good AS (SELECT * FROM cards WHERE {_CARD_ERROR} IS NULL)
-SELECT file, 'error' AS level, {_CARD_ERROR} AS message FROM cards WHERE {_CARD_ERROR} IS NOT NULL
-UNION ALL SELECT file, 'error', 'project unknown: c' || conv_id FROM good WHERE conv_id % 11 = 0
-UNION ALL SELECT file, 'error', 'no [source]: - bare' FROM good WHERE conv_id % 11 > 0 AND conv_id % 3 > 0
-UNION ALL SELECT file, 'error', 'machines not in the text: ' || m FROM (SELECT file, unnest(['Paloma ' || (conv_id % 4) || 'R (x, y)', 'Hector']) AS m FROM good WHERE conv_id % 11 > 0)
-UNION ALL SELECT file, 'error', 'years not in the text: ' || (1990 + conv_id % 30) FROM good WHERE conv_id % 11 > 0
-UNION ALL SELECT file, 'warning', 'older than the newest document: 2024-06-01' FROM good WHERE conv_id % 11 > 0 AND conv_id % 4 = 1""")
-def card_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = cards.parse_cards(_card_files(spark, sf_dir))
-    ids = read_table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id")
-    name = F.concat(F.lit("C"), F.col("conv_id").cast("string"))
-    known = ids.where("conv_id % 11 > 0").select(name.alias("project"))
-    docs = ids.where("conv_id % 4 = 1").select(F.lit("/x").alias("path_key"), name.alias("project"), F.lit("2024-06-01").cast("timestamp").alias("mtime"))
-    words = spark.createDataFrame([], "kind string, value string, synonym string")
-    return cards.check(parsed, words, docs, known)
-
-
-@query("carried_sections", f"""WITH {_CARD_SQL} SELECT file, 1::INT AS line_no, '## A. Facts' AS section FROM cards WHERE {_CARD_ERROR} IS NULL""")
-def carried_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cards.sourced_lines(cards.parse_cards(_card_files(spark, sf_dir))).select("file", "line_no", "section")
-
-
 # ------------------------------------------------------------------ streams
 
 
 @query("stream_ingest_counts", "SELECT time_bucket(INTERVAL 1 hour, ts)::VARCHAR AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read as a stream, windowed under a watermark, collected by an availableNow run."""
+    """Events read as a stream, windowed under a watermark; each micro-batch's changed windows go to a Parquet table."""
     import uuid
 
     from quillspark.streaming import ingest
@@ -189,9 +136,10 @@ def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a file pattern keeps to the events table of the folder
     stream = ingest.file_stream(spark, sf_dir, schema, pattern="events.parquet")
     counts = ingest.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour", "10 minutes")
-    name = "hourly_" + uuid.uuid4().hex
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    path = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
+    ingest.changes_to_table(counts, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    newest = ingest.newest_changes(spark, f"{path}/table", counts.schema, ["start", "event_type"])
+    return newest.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("event_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 minute THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -61,16 +61,6 @@ def machine_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.confirmed(linkage.mentions(docs, pages)).drop("confirmed")
 
 
-@query("paginated_blocks", """WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-p AS (SELECT *, (i // 3 + 1)::INT AS page_no FROM b) SELECT doc_id, page_no, md5(string_agg(text, chr(10) ORDER BY i)) AS page_md5 FROM p WHERE doc_id IN (SELECT doc_id FROM b WHERE i >= 3) GROUP BY doc_id, page_no""")
-def paginated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by break marks: here every third line begins one."""
-    d = spread(read_table(spark, sf_dir, "documents")).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    long = d.where("i >= 3").select("doc_id").distinct()
-    blocks = d.join(long, "doc_id", "left_semi").withColumns({"is_heading": F.lit(False), "is_break": F.col("i") % 3 == 0})
-    return reports.paginate_blocks(blocks).select("doc_id", "page_no", F.md5("text").alias("page_md5"))
-
-
 @query("paginated_texts", """WITH RECURSIVE b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
 sized AS (SELECT doc_id, i, length(text)::BIGINT AS size, i % 5 = 4 AS heading FROM b WHERE doc_id % 2 <> 0),
 r AS (SELECT doc_id, i, 1::BIGINT AS page_no, size AS used FROM sized WHERE i = 0
@@ -101,28 +91,13 @@ def sampled_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.sum("count").alias("n"), F.max("count").alias("most"))
 
 
-@query("hash_search", r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}_]+')) AS w FROM documents WHERE length(text) < 400),
-b AS (SELECT doc_id, (('0x' || substr(md5(w), 7, 2) || substr(md5(w), 5, 2) || substr(md5(w), 3, 2) || substr(md5(w), 1, 2))::BIGINT % 32)::INT AS bucket, count(*) AS n FROM words GROUP BY ALL),
-q AS (SELECT (('0x' || substr(md5(w), 7, 2) || substr(md5(w), 5, 2) || substr(md5(w), 3, 2) || substr(md5(w), 1, 2))::BIGINT % 32)::INT AS bucket, count(*) AS m FROM (SELECT unnest(['license', 'version', '2', '0']) AS w) GROUP BY ALL),
-s AS (SELECT doc_id, sum(n * coalesce(m, 0)) / sqrt(sum(n * n)) / (SELECT sqrt(sum(m * m)) FROM q) AS score FROM b LEFT JOIN q USING (bucket) GROUP BY doc_id)
-SELECT doc_id AS id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 25""")
-def hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of texts by hashed words, searched by the vector of a query text."""
-    d = spread(read_table(spark, sf_dir, "documents")).where(F.length("text") < 400)
-    # rounded before ranking, so sums of other orders rank alike
-    vectors = d.select(F.col("doc_id").alias("vec_id"), retrieval.hash_embedding(F.col("text"), 32).alias("embedding"))
-    wanted = retrieval.query_vector(spark, "License, Version 2.0", 32)
-    scored = vectors.select(F.col("vec_id").alias("id"), retrieval.dot("embedding", wanted).alias("s"))
-    return scored.orderBy(F.round("s", 9).desc(), "id").limit(25).select("id", F.round("s", 6).alias("score"))
-
-
 @query("hash_search_whole", r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}_]+')) AS w FROM documents),
 b AS (SELECT doc_id, (('0x' || substr(md5(w), 7, 2) || substr(md5(w), 5, 2) || substr(md5(w), 3, 2) || substr(md5(w), 1, 2))::BIGINT % 32)::INT AS bucket, count(*) AS n FROM words GROUP BY ALL),
 q AS (SELECT (('0x' || substr(md5(w), 7, 2) || substr(md5(w), 5, 2) || substr(md5(w), 3, 2) || substr(md5(w), 1, 2))::BIGINT % 32)::INT AS bucket, count(*) AS m FROM (SELECT unnest(['license', 'version', '2', '0']) AS w) GROUP BY ALL),
 s AS (SELECT doc_id, sum(n * coalesce(m, 0)) / sqrt(sum(n * n)) / (SELECT sqrt(sum(m * m)) FROM q) AS score FROM b LEFT JOIN q USING (bucket) GROUP BY doc_id)
 SELECT doc_id AS id, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s USING (doc_id) ORDER BY round(coalesce(score, 0), 9) DESC, doc_id LIMIT 25""")
 def hash_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hash_search over all documents of any length; a text without words scores 0."""
+    """Vectors of all texts by hashed words, searched by the vector of a query text; a text without words scores 0."""
     d = spread(read_table(spark, sf_dir, "documents"))
     wanted = F.array(*[F.lit(x) for x in retrieval.query_vector(spark, "License, Version 2.0", 32)])
     part = retrieval.hash_embedding_rows(d, "doc_id", "text", 32).select("id", (F.col("value") * F.element_at(wanted, F.col("bucket").cast("int") + 1)).alias("s"))

@@ -12,7 +12,7 @@ from quillspark.operators.querylang import parse, parse_name_query
 from quillspark.plans import adapters
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import CHUNKS_SQL
-from quillspark.session import read_table, spread
+from quillspark.session import read_table, spread, stored
 
 _WORDS = r"regexp_extract_all(lower(strip_accents({0})), '[\p{{L}}\p{{N}}]+')"
 
@@ -64,10 +64,10 @@ def bm25_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_bm25_sql(_DOC_WORDS, [(['thereon'], False), (['apache', 'lic'], True)], 'f0 > 0 OR f1 > 0', 100)} SELECT id, round(score, 6) AS score FROM best",
 )
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search on the inverted index."""
+    """The same search on a stored inverted index, of which it reads the query's terms."""
     words = _docs(spark, sf_dir)
-    lengths = words.select("id", F.size("words").alias("length"))
-    return _rounded(lexical.search_postings(lexical.postings(words), lengths, parse("thereon apache-lic*"), 100))
+    index = stored(lexical.postings(words), "postings", "term", "id")
+    return _rounded(lexical.search_postings(index, lexical.corpus_figures(words), parse("thereon apache-lic*"), 100))
 
 
 _NAME_WORDS = f"SELECT p_partkey AS id, {_WORDS.format('p_name || chr(32) || p_type')} AS w FROM part"
@@ -107,17 +107,6 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.dense_search(read_table(spark, sf_dir, "embeddings"), PROBE))
 
 
-@query(
-    "dense_topk_many",
-    "WITH q AS (SELECT vec_id AS query, [x::DOUBLE FOR x IN embedding] AS q FROM embeddings WHERE vec_id < 8), s AS (SELECT query, vec_id AS id, list_dot_product([x::DOUBLE FOR x IN embedding], q) AS score FROM embeddings, q) SELECT query::INT AS query, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10",
-)
-def dense_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated block of queries against all vectors."""
-    vectors = read_table(spark, sf_dir, "embeddings")
-    asked = [list(r.embedding) for r in vectors.where("vec_id < 8").orderBy("vec_id").select("embedding").collect()]
-    return retrieval.dense_search_many(vectors, asked, 10).select("query", "id", F.round("score", 6).alias("score"))
-
-
 @query(
     "dense_topk_hundredths",
     "WITH q AS (SELECT vec_id AS query, [x::DOUBLE FOR x IN embedding] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id AS id, list_dot_product([x::DOUBLE FOR x IN embedding], q) AS score FROM embeddings, q) SELECT query, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10",

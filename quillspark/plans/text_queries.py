@@ -48,25 +48,27 @@ def page_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fold_flavours",
-    r"""SELECT doc_id, lower(strip_accents(title)) AS folded, translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ascii_lower,
-  trim(regexp_replace(strip_accents(lower(title)), '[\s_\-]+', ' ', 'g')) AS name, array_to_string(regexp_extract_all(strip_accents(lower(title)), '[\p{L}\p{N}_]+'), ' ') AS terms,
-  trim(regexp_replace(lower(regexp_replace(strip_accents(title), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS key
-FROM (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)""",
+    r"""SELECT doc_id, md5(lower(strip_accents(text))) AS folded, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ascii_lower,
+  md5(trim(regexp_replace(strip_accents(lower(text)), '[\s_\-]+', ' ', 'g'))) AS name, md5(array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]+'), ' ')) AS terms,
+  md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))) AS key
+FROM documents""",
 )
 def fold_flavours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.split("text", "\n")[0]
-    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", text.fold(t).alias("folded"), text.ascii_lower(t).alias("ascii_lower"), text.norm_name(t).alias("name"), text.norm_terms(t).alias("terms"), text.fold_ascii(t).alias("key"))
+    """The five ways of folding, of whole texts."""
+    t = F.col("text")
+    folds = {"folded": text.fold(t), "ascii_lower": text.ascii_lower(t), "name": text.norm_name(t), "terms": text.norm_terms(t), "key": text.fold_ascii(t)}
+    return spread(read_table(spark, sf_dir, "documents")).select("doc_id", *[F.md5(c).alias(k) for k, c in folds.items()])
 
 
 @query(
     "number_extraction",
     r"""SELECT doc_id, array_to_string(list_sort(list_distinct([regexp_extract(x, '1[02]0\d{6}') FOR x IN regexp_extract_all(x, '(?:^|\D)0?1[02]0\d{6}(?:$|\D)')])), ',') AS numbers,
   coalesce(try_cast(nullif(regexp_extract(text, '\d+'), '') AS BIGINT), -1) AS first_number
-FROM (SELECT doc_id, text, 'ref 120' || lpad((doc_id % 1000000)::VARCHAR, 6, '0') || ' and 0100' || lpad((n_chars % 1000000)::VARCHAR, 6, '0') || '; no 9120000001 nor 12000' AS x FROM documents)""",
+FROM (SELECT doc_id, text, coalesce(text, '') || ' ref 120' || lpad((doc_id % 1000000)::VARCHAR, 6, '0') || ' and 0100' || lpad((n_chars % 1000000)::VARCHAR, 6, '0') || '; no 9120000001 nor 12000' AS x FROM documents)""",
 )
 def number_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = lambda c: F.lpad((F.col(c) % 1_000_000).cast("string"), 6, "0")
-    x = F.concat(F.lit("ref 120"), pad("doc_id"), F.lit(" and 0100"), pad("n_chars"), F.lit("; no 9120000001 nor 12000"))
+    x = F.concat(F.coalesce("text", F.lit("")), F.lit(" ref 120"), pad("doc_id"), F.lit(" and 0100"), pad("n_chars"), F.lit("; no 9120000001 nor 12000"))
     return spread(read_table(spark, sf_dir, "documents")).select("doc_id", F.array_join(text.numbers_in(x), ",").alias("numbers"), F.coalesce(text.first_int(F.col("text")), F.lit(-1)).cast("long").alias("first_number"))
 
 
@@ -134,15 +136,6 @@ def json_answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("event_id", "x.type", "x.description", "x.visible_text", F.array_join("x.keywords", ",").alias("keywords"), "x.error")
 
 
-@query(
-    "html_pages_text",
-    r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs FROM pages""",
-)
-def html_pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
-    return p.select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
-
-
 @query("doc_status_counts", f"WITH {adapters.DOCS_SQL} SELECT status, lang, count(*)::BIGINT AS docs FROM docs GROUP BY status, lang")
 def doc_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.docs(spark, sf_dir).groupBy("status", "lang").agg(F.count("*").alias("docs"))

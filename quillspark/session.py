@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one in local mode where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillspark-ckpt-")
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, label: str, *order: str) -> DataFrame:
+    """df written to the folder that driver and executors share, its files sorted by ``order``, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    table = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    table.write.parquet(path)
+    return df.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if its scan has fewer (one small file, say).
 

@@ -34,9 +34,27 @@ def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (),
     return out.where(~is_excluded(F.col("path_key"), list(excluded))) if excluded else out
 
 
-def extract(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), max_bytes: int | None = None) -> DataFrame:
-    """The pages of every file: status ok, no_text, empty, skipped or error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def literal(path: str) -> str:
+    """A path in which no character is a wildcard."""
+    return re.sub(r"([\[\]{}*?,^\\])", r"\\\1", path)
+
+
+def extract_listed(spark: SparkSession, root: str, wanted: DataFrame, n: int, of: int, extensions: tuple[str, ...] = (), max_bytes: int | None = None) -> DataFrame:
+    """extract() of the files wanted (path), n of ``of`` in the tree.
+
+    Few are read by their paths, which are fewer than those that Spark's own listing of the tree
+    holds; where most are wanted, the tree is read.
+    """
+    if 2 * n >= of:
+        return extract(spark, root, extensions, max_bytes)
+    paths = [literal(r.path) for r in wanted.select("path").toLocalIterator()]
+    return extract(spark, paths, (), max_bytes) if paths else spark.createDataFrame([], PAGES)
+
+
+def extract(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = (), max_bytes: int | None = None) -> DataFrame:
+    """The pages of every file of a tree, or of the named ones: status ok, no_text, empty, skipped or error."""
+    files = spark.read.format("binaryFile")
+    files = files.load(root) if isinstance(root, list) else files.option("recursiveFileLookup", "true").load(root)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     if extensions:
         files = files.where(ext.isin(*extensions))
@@ -113,6 +131,18 @@ def html_text(html: str) -> str:
     return entities.unescape(re.sub(r"<[^>]+>", "", html))
 
 
+def html_texts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with the visible text (null: empty) in place of the HTML column."""
+    names = [c for c in pages.columns if c not in (html, "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            texts = pa.array([html_text(x or "") for x in batch.column(html).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), texts], names=[*names, "text"])
+
+    return pages.mapInArrow(run, pages.select(*names).limit(0).withColumn("text", F.lit("")).schema)
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.operators.incremental import Versions, upsert
+from quillspark.operators.incremental import Buckets, Versions, upsert
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 64, pattern: str | None = None) -> DataFrame:
@@ -32,11 +33,31 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str, la
     return grouped.select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
-def upsert_stream(stream: DataFrame, target: Versions, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda x: x, order: str | None = None) -> StreamingQuery:
-    """Writes each micro-batch into a versioned table, replacing rows of equal keys.
+def changes_to_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Adds the rows that each micro-batch changed to a Parquet table, in a folder for each batch.
+
+    A batch that is run again writes its own folder again, so nothing is counted twice.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_changes(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The last state of each key in a table of changes."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest])
+
+
+def upsert_stream(stream: DataFrame, target: Versions | Buckets, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda x: x, order: str | None = None) -> StreamingQuery:
+    """Writes each micro-batch into a table, replacing rows of equal keys.
 
     Of several rows with one key in a batch the one with the largest ``order`` counts. A batch that
-    is run again after a failure replaces its own rows, so the result is the same.
+    is run again after a failure replaces its own rows, so the result is the same. Versions writes
+    the whole table for every batch; Buckets, for large ones, only the buckets that a batch touches.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -46,7 +67,11 @@ def upsert_stream(stream: DataFrame, target: Versions, keys: list[str], checkpoi
             new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_x")).select(*keys, *[F.col(f"_x.{c}") for c in rest])
         new = new.persist()
         try:
-            if not new.isEmpty():
+            if new.isEmpty():
+                return
+            if isinstance(target, Buckets):
+                target.upsert(new)
+            else:
                 target.write(new if target.current() is None else upsert(target.read(), new, keys))
         finally:
             new.unpersist()

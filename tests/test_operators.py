@@ -63,7 +63,7 @@ def test_versions_keep_one_back(spark, tmp_path):
         table.write(spark.range(n))
     assert table.current() == 3
     assert table.read().count() == 3
-    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v=")) == ["v=2", "v=3"]
+    assert sorted(p.name for p in (tmp_path / "t" / "data").iterdir() if p.name.startswith("v=")) == ["v=2", "v=3"]
 
 
 def test_pages_by_breaks_and_by_size(spark):
