@@ -53,7 +53,7 @@ BLOCK_IDS = 1 << 16
 #: Blocks of a file, at most.
 FILE_BLOCKS = 64
 #: Entries of each generation of a worker's cache.
-CACHE = 600_000
+CACHE = 400_000
 MAGIC = b"QTB2"
 
 
@@ -71,6 +71,28 @@ def apart(text: str) -> str:
     return text.replace(".", " .").replace(",", " ,")
 
 
+class _Alphabet(dict):
+    """For each code point its UTF-8 bytes in the alphabet that byte-level vocabularies are written in."""
+
+    def __init__(self):
+        self.letters = byte_alphabet()
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join(self.letters[b] for b in chr(point).encode("utf-8", "surrogatepass"))
+        return self[point]
+
+
+class _Packers(dict):
+    """For each number of ids the function that packs so many."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def __missing__(self, n: int):
+        self[n] = struct.Struct(f"<{n}{self.kind}").pack
+        return self[n]
+
+
 class ChunkEncoder:
     """Ids of texts by a tokenizers file, as packed bytes, through a cache of the chunks between spaces and line ends.
 
@@ -87,6 +109,7 @@ class ChunkEncoder:
 
         spec = json.loads(data)
         self.kind = kind
+        self.alphabet, self.packers = _Alphabet(), _Packers("H" if kind == "<u2" else "I")
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -100,7 +123,6 @@ class ChunkEncoder:
         #: Whether letters, digits and punctuation are always apart, and case is folded after NFC.
         self.by_letter = self.by_chunk and normal == ["NFC", "Replace", "Lowercase"] and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and split[0]["behavior"] == "Removed" and split[0]["invert"]
         self.cut = regex.compile(pattern).findall if self.by_letter else None
-        self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
         self._forget()
         texts = self._trials()
         whole = [self._whole(t) for t in texts]
@@ -125,10 +147,10 @@ class ChunkEncoder:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+        return self.packers[len(ids)](*ids)
 
     def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        return [t.id for t in self.model.tokenize(piece.translate(self.alphabet))]
 
     def _chunk(self, chunk: str, plain: bool) -> bytes:
         """Ids of a chunk that the young generation lacks; plain: its text is ready for the model."""
@@ -138,7 +160,8 @@ class ChunkEncoder:
             if not plain:
                 ids = self._whole(chunk)
             elif chunk.isalpha():
-                ids = self._packed(self._piece(chunk))
+                # ASCII letters stand for themselves in the alphabet of bytes
+                ids = self._packed([t.id for t in self.model.tokenize(chunk)] if chunk.isascii() else self._piece(chunk))
             else:
                 ids = self._packed([i for x in self.cut(chunk) for i in self._piece(x)])
         if len(chunk) < 64:
