@@ -59,7 +59,9 @@ MAGIC = b"QTB2"
 
 def pieces(text: str) -> list[str]:
     """The chunks between spaces and line ends."""
-    return text.replace("\n", " ").split(" ")
+    text = text.replace("\n", " ")
+    # of all blanks only the space is printable
+    return text.split() if text.isprintable() else text.split(" ")
 
 
 def apart(text: str) -> str:
@@ -93,11 +95,28 @@ class _Packers(dict):
         return self[n]
 
 
+class _Cache(dict):
+    """What ``make`` returns for a key, in two generations: when the young one is full it becomes the old one, and what is still in use moves back."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ChunkEncoder:
     """Ids of texts by a tokenizers file, as packed bytes, through a cache of the chunks between spaces and line ends.
 
-    The cache has two generations: when the young one is full it becomes the old one, and what is
-    still in use moves back, so frequent chunks stay. A text that is in normal form, has no special
+    A text that is in normal form, has no special
     token and no capital sigma (whose lower case depends on its place) is lower-cased first, if the
     tokenizer does that anyway; then full stops and commas that stand alone are cut off, and a
     chunk's pieces go straight to the BPE model. All else goes through the whole tokenizer.
@@ -134,8 +153,7 @@ class ChunkEncoder:
             self._forget()
 
     def _forget(self) -> None:
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.plain, self.other = _Cache(self._plain_chunk), _Cache(self._whole)
 
     def _trials(self) -> list[str]:
         """The same random texts for every load: words, marks, digits, blanks of all kinds, special tokens, accents apart."""
@@ -152,37 +170,19 @@ class ChunkEncoder:
     def _piece(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece.translate(self.alphabet))]
 
-    def _chunk(self, chunk: str, plain: bool) -> bytes:
-        """Ids of a chunk that the young generation lacks; plain: its text is ready for the model."""
-        key = chunk if plain else "\0" + chunk
-        ids = self.old.get(key)
-        if ids is None:
-            if not plain:
-                ids = self._whole(chunk)
-            elif chunk.isalpha():
-                # ASCII letters stand for themselves in the alphabet of bytes
-                ids = self._packed([t.id for t in self.model.tokenize(chunk)] if chunk.isascii() else self._piece(chunk))
-            else:
-                ids = self._packed([i for x in self.cut(chunk) for i in self._piece(x)])
-        if len(chunk) < 64:
-            if len(self.young) >= CACHE:
-                self.young, self.old = {"": b""}, self.young
-            self.young[key] = ids
-        return ids
+    def _plain_chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that is ready for the model."""
+        if chunk.isalpha():
+            # ASCII letters stand for themselves in the alphabet of bytes
+            return self._packed([t.id for t in self.model.tokenize(chunk)] if chunk.isascii() else self._piece(chunk))
+        return self._packed([i for x in self.cut(chunk) for i in self._piece(x)])
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk:
             return self._whole(text)
-        chunk = self._chunk
         if self.by_letter and not any(x in text for x in self.special) and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text)):
-            parts = pieces(apart(text.lower()))
-            ids = list(map(self.young.get, parts))
-            for at in [i for i, x in enumerate(ids) if x is None]:
-                ids[at] = chunk(parts[at], True)
-        else:
-            parts = ["\0" + x if x else "" for x in pieces(text)]
-            ids = [chunk(x[1:], False) if i is None else i for x, i in zip(parts, map(self.young.get, parts))]
-        return b"".join(ids)
+            return b"".join(map(self.plain.__getitem__, pieces(apart(text.lower()))))
+        return b"".join(map(self.other.__getitem__, pieces(text)))
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -197,7 +197,10 @@ def id_kind(path: str, end_id: int | None = None) -> str:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as bytes of id_kind(), with the end id."""
+    """(doc_id, ids, counts): ids as bytes of id_kind(), with the end id.
+
+    The last row of each task has no ids, but how often each id occurs in the task: pairs of int64.
+    """
     spark = docs.sparkSession
     shared = load(spark, path)
     kind = id_kind(path, end_id)
@@ -209,29 +212,31 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "te
             _LOADED.clear()
             _LOADED[name] = ChunkEncoder(data, kind)
         coder = _LOADED[name]
+        total = np.zeros(1, np.int64)
+        names = ["doc_id", "ids", "counts"]
         for batch in steps(batches, text):
             ids = [coder.encode(t or "") + end for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            n = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
+def count_ids(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in all documents; the vocabulary bounds what reaches the driver."""
 
     def run(batches):
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            data, _ = flat(batch.column("ids"))
-            ids = np.frombuffer(data.tobytes(), kind)
-            if len(ids):
-                n = np.bincount(ids, minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+            for packed in batch.column("counts"):
+                used, n = np.frombuffer(packed.as_py(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -356,7 +361,7 @@ def parse(data: bytes) -> Iterator[dict]:
 
 
 def write(tokens: DataFrame, path: str, lengths: np.ndarray, kind: str) -> None:
-    """Writes (doc_id, ids) as sorted block files under path/data and the code book under path/codebook."""
+    """Writes the rows of tokenise() that have ids as sorted block files under path/data and the code book under path/codebook."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(np.asarray(lengths, np.uint8))
 
@@ -376,7 +381,7 @@ def write(tokens: DataFrame, path: str, lengths: np.ndarray, kind: str) -> None:
     def one(book, docs):
         return pa.RecordBatch.from_arrays([pa.array([book.block(docs)], pa.binary())], names=["block"])
 
-    ordered = tokens.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
     blocks = ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
     blocks.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/data")
     book = spark.createDataFrame([(shared.value.tobytes(),)], "lengths binary")
@@ -443,5 +448,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataF
     tokens = keep(tokenise(docs, tokenizer, end_id), "token-ids")
     path = scratch(spark, "token-files")
     kind = id_kind(tokenizer, end_id)
-    write(tokens, path, code_lengths(count_ids(tokens, kind)), kind)
+    write(tokens, path, code_lengths(count_ids(tokens)), kind)
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
