@@ -8,8 +8,10 @@ ledgers and vectors away, so they are made again. Everything derived is a view.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,8 +161,9 @@ class CorpusIndex:
         return self.tables.read("chunks")
 
     def facets(self) -> DataFrame:
-        below = F.col("path_key") if self.root is None else F.regexp_replace("path_key", "^" + self.root.replace("file://", "").rstrip("/").lower() + "/", "")
-        rows = self.docs().select("doc_id", below.alias("path"))
+        path = F.regexp_replace("path", "^[a-z]+:/+", "/")
+        skipped = 0 if self.root is None else len(re.sub("^[a-z]+:/+", "/", self.root).rstrip("/")) + 1
+        rows = self.docs().select("doc_id", F.substring(path, F.lit(skipped + 1), F.length(path)).alias("path"))
         return rows if self.profile is None else PROFILES[self.profile](rows)
 
     def machines(self) -> DataFrame:
@@ -194,6 +197,87 @@ class CorpusIndex:
     def _pages_of(self, path_key: str) -> DataFrame:
         return self.pages().join(self.docs().where(F.col("path_key") == path_key.lower()).select("doc_id"), "doc_id", "left_semi")
 
+    def read_fresh(self, path_key: str) -> DataFrame:
+        """(page_no, text, live): the pages as the file has them now if it has changed since it was indexed, else as stored."""
+        stored = self.docs().where(F.col("path_key") == path_key.lower()).select("path", "size", "mtime").first()
+        if stored is None:
+            raise ValueError(f"{path_key} is not indexed")
+        try:
+            now = self.spark.read.format("binaryFile").load(files.literal(stored.path))
+            row = now.select(F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime")).first()
+        except AnalysisException:  # the file is gone: what is stored is all there is
+            row = None
+        if row is None or (row.size == stored.size and abs(row.mtime - stored.mtime) < incremental.SAME_TIME):
+            return self._pages_of(path_key).select("page_no", "text", F.lit(False).alias("live")).orderBy("page_no")
+        pages = files.page_rows(files.extract(self.spark, [stored.path]))
+        return pages.select("page_no", "text", F.lit(True).alias("live")).orderBy("page_no")
+
+    def live_folder(self, folder: str) -> DataFrame:
+        """(path_key, state, status) of the files that the tree has in a folder or the index knows there: indexed, changed, new or missing."""
+        if self.root is None:
+            raise ValueError("an index without a root has no tree")
+        here = lambda df: df.where(filters.in_folder("path_key", folder))
+        found = here(files.list_files(self.spark, self.root, (), list(self.excluded)).withColumn("mtime", F.col("mtime").cast("double")))
+        known = here(self.docs()).select("path_key", "size", "mtime", "status", "indexed_at")
+        actions = incremental.snapshot_diff(found, known)
+        state = F.create_map(*[F.lit(x) for x in ("unchanged", "indexed", "updated", "changed", "new", "new", "gone", "missing")])
+        return actions.join(known.select("path_key", "status"), "path_key", "left").select("path_key", F.element_at(state, F.col("action")).alias("state"), "status").orderBy("path_key")
+
+    # -------------------------------------------------------------- register, projects and cards
+
+    def _project_facets(self) -> DataFrame:
+        rows = self.facets().join(self.docs().select("doc_id", "path_key", F.col("mtime").cast("timestamp").alias("mtime")), "doc_id")
+        for c in ("project", "subproject", "collection", "doc_type"):
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+        return rows
+
+    def register(self, path: str) -> DataFrame:
+        """The rows of a register CSV, linked with the projects of the index by folder, name and numbers."""
+        rows = files.read_register(self.spark, path)
+        for c in ("project", "path", "order_no", "serial", "model", "year", "client", "country", "group", "order_date", "notes"):
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+        rows = rows.withColumnsRenamed({"project": "name", "group": "grp"}).withColumn("row_id", F.monotonically_increasing_id())
+        rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("name", "path", "order_no", "serial", "model", "year", "client", "grp", "order_date", "notes")})
+        docs = self._project_facets()
+        pages = self.pages()
+        projects = docs.where("project is not null").select("project").distinct()
+        return linkage.link_register(rows, projects, linkage.number_evidence(docs, pages), self.machines(), linkage.year_spans(docs))
+
+    def project_cards(self, register: str | None = None, folder: str | None = None, name: str | None = None) -> DataFrame:
+        """(project, part, place, line) of all projects, or of those with a name; register: a CSV, folder: knowledge cards."""
+        docs = self._project_facets()
+        if register is not None:
+            rows = self.register(register)
+        else:
+            rows = self.spark.createDataFrame([], "project string, reg_project string, name string, client string, grp string, country string, year int")
+        names = docs.where("project is not null").select("project", F.lit(None).cast("string").alias("parent")).distinct()
+        names = names.unionByName(docs.where("subproject is not null").select(F.col("subproject").alias("project"), F.col("project").alias("parent")).distinct())
+        parsed = cards.parse_cards(files.read_cards(self.spark, folder)) if folder is not None else None
+        none = self.spark.createDataFrame([], "project string, parent string, card string, note string")
+        written = none if parsed is None else cards.written_card(parsed, names)
+        votes = linkage.number_evidence(docs, self.pages())
+        machines = linkage.describe_machines(self.machines())
+        out = reports.project_cards(docs, rows, machines, votes, written)
+        return out if name is None else out.where(text.ascii_lower(F.col("project")) == name.lower())
+
+    def register_summary(self, path: str) -> DataFrame:
+        return reports.register_summary(self.register(path))
+
+    def catalog(self, folder: str, **wanted) -> DataFrame:
+        """The readable cards of a folder that satisfy the filters of cards.catalog()."""
+        return cards.catalog(cards.parse_cards(files.read_cards(self.spark, folder)), **wanted)
+
+    def catalog_coverage(self, folder: str) -> DataFrame:
+        return cards.coverage(cards.parse_cards(files.read_cards(self.spark, folder)), self._project_facets().select("project"))
+
+    def pictures(self) -> DataFrame:
+        """(doc_id, page_no, image_no, sha1, image) of the pictures in the indexed files: what describe() takes."""
+        if self.root is None:
+            raise ValueError("an index without a root has no files")
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files.literal(self.root))
+        rows = files.picture_rows(found.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*files.PICTURES, ".docx", ".pptx", ".pdf")))
+        return rows.join(self.docs().select("path", "doc_id"), "path").drop("path")
+
     def list_folder(self, folder: str, limit: int = 200) -> DataFrame:
         """(name, is_folder, docs) directly in a folder, folders first."""
         rest = F.expr(f"substring(path_key, {len(folder.rstrip('/')) + 2})")
@@ -204,8 +288,20 @@ class CorpusIndex:
     def list_projects(self, name: str | None = None, limit: int = 100) -> DataFrame:
         return reports.list_projects(self.facets().join(self.docs().select("doc_id", "mtime"), "doc_id"), name, limit)
 
-    def world_map(self, title: str = "corpus") -> list[str]:
-        """The folder tree as lines within the character budget."""
+    def overview(self) -> dict[str, DataFrame]:
+        """Documents by status and type, and histograms of the facets that the profile has."""
+        shown = [c for c in ("collection", "section", "doc_type", "category", "language") if c in self.facets().columns]
+        return {"status": self.status(), **{c: reports.histogram(self.facets(), c) for c in shown}}
+
+    def world_map(self, title: str = "corpus", note: str | None = None) -> list[str]:
+        """The folder tree as lines within the character budget; note: a text file that goes before, if it can be read."""
+        if note is not None:
+            try:
+                with open(note, encoding="utf-8") as f:
+                    before = f.read().strip().splitlines()
+            except OSError as e:
+                before = [f"(no map text: {e})"]
+            return [*before, *self.world_map(title)]
         parts = facets.path_parts(F.col("path"))
         rows = self.facets().select(F.slice(parts, F.lit(1), F.size(parts) - 1).alias("parts"))
         total = rows.count()
@@ -227,6 +323,5 @@ class CorpusIndex:
     def check_cards(self, folder: str, vocabulary: DataFrame | None = None) -> DataFrame:
         """All issues of the knowledge cards in a folder."""
         words = vocabulary if vocabulary is not None else self.spark.createDataFrame([], "kind string, value string, synonym string")
-        rows = self.facets().join(self.docs().select("doc_id", "path_key", F.col("mtime").cast("timestamp").alias("mtime")), "doc_id")
-        rows = rows if "project" in rows.columns else rows.withColumn("project", F.lit(None).cast("string"))
+        rows = self._project_facets()
         return cards.check(cards.parse_cards(files.read_cards(self.spark, folder)), words, rows.select("path_key", "project", "mtime"), rows.select("project").where("project is not null"))

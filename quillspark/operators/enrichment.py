@@ -136,7 +136,7 @@ def answered(pictures: DataFrame, describe: Callable[[bytes], str]) -> DataFrame
             states = ["error" if a is None else "described" for a in answers]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(answers, pa.string()), pa.array(states, pa.string())], names=[*names, "answer", "status"])
 
-    return pictures.mapInArrow(run, pictures.drop("image").limit(0).withColumn("answer", F.lit("")).withColumn("status", F.lit("")).schema)
+    return pictures.mapInArrow(run, pictures.drop("image").limit(0).withColumn("answer", F.lit(None).cast("string")).withColumn("status", F.lit("")).schema)
 
 
 def picture_jobs(candidates: DataFrame, chunks: DataFrame, picture_chunks: DataFrame, ocr_pages: DataFrame) -> DataFrame:

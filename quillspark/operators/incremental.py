@@ -124,7 +124,7 @@ class States:
         return sorted(int(n) for n in names if n.isdigit())
 
     def get(self, number: int) -> dict:
-        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.path}/_state/{number}").first().value)
+        return json.loads(self.spark.read.text(f"{self.path}/_state/{number}", wholetext=True).first().value)
 
     def newest(self) -> tuple[int, dict]:
         """The newest number and state; 0 and nothing in an empty folder."""
@@ -283,3 +283,9 @@ class Segments:
         rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{self.path}/{name}/{number}")
         self.states.put(number, {**state, "tables": {**state.get("tables", {}), name: [number]}, "notes": {**state.get("notes", {}), **(notes or {})}})
         return number
+
+    def note(self, **notes) -> int:
+        """Sets notes of the state and nothing else."""
+        number, state = self.states.newest()
+        self.states.put(number + 1, {**state, "notes": {**state.get("notes", {}), **notes}})
+        return number + 1

@@ -7,7 +7,9 @@ bytes; ``extract_bytes`` calls them ``empty`` where another source delivers them
 
 from __future__ import annotations
 
+import hashlib
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -25,20 +27,20 @@ PAGES = "path string, status string, title string, n_pages int, error string, pa
 PICTURES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp")
 
 
+def literal(path: str) -> str:
+    """A path in which no character is a wildcard."""
+    return re.sub(r"([\[\]{}*?,^\\])", r"\\\1", path)
+
+
 def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), excluded: list[str] = ()) -> DataFrame:
     """(path, path_key, ext, size, mtime) of a tree; the contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal(root))
     out = files.select("path", path_key(F.regexp_replace("path", "^[a-z]+:/+", "/")).alias("path_key"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     if extensions:
         out = out.where(F.col("ext").isin(*extensions))
     return out.where(~is_excluded(F.col("path_key"), list(excluded))) if excluded else out
 
 
-def literal(path: str) -> str:
-    """A path in which no character is a wildcard."""
-    return re.sub(r"([\[\]{}*?,^\\])", r"\\\1", path)
-
-
 def extract_listed(spark: SparkSession, root: str, wanted: DataFrame, n: int, of: int, extensions: tuple[str, ...] = (), max_bytes: int | None = None) -> DataFrame:
     """extract() of the files wanted (path), n of ``of`` in the tree.
 
@@ -47,14 +49,14 @@ def extract_listed(spark: SparkSession, root: str, wanted: DataFrame, n: int, of
     """
     if 2 * n >= of:
         return extract(spark, root, extensions, max_bytes)
-    paths = [literal(r.path) for r in wanted.select("path").toLocalIterator()]
+    paths = [r.path for r in wanted.select("path").toLocalIterator()]
     return extract(spark, paths, (), max_bytes) if paths else spark.createDataFrame([], PAGES)
 
 
 def extract(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = (), max_bytes: int | None = None) -> DataFrame:
     """The pages of every file of a tree, or of the named ones: status ok, no_text, empty, skipped or error."""
     files = spark.read.format("binaryFile")
-    files = files.load(root) if isinstance(root, list) else files.option("recursiveFileLookup", "true").load(root)
+    files = files.load([literal(r) for r in root]) if isinstance(root, list) else files.option("recursiveFileLookup", "true").load(literal(root))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     if extensions:
         files = files.where(ext.isin(*extensions))
@@ -244,7 +246,7 @@ def pdf_pages(content: bytes, most: int = 3000) -> tuple[str, str | None, list[s
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, text): Markdown files with numbered picture marks, natively."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     title = F.get(F.filter(F.regexp_extract_all(F.concat(F.lit("\n"), "value"), F.lit(r"\n#+[ \t]*([^\n]+)"), F.lit(1)), lambda h: F.rlike(h, F.lit(r"\p{L}"))), F.lit(0))
     return raw.select("path", F.trim(title).alias("title"), clean_text(number_pictures(F.col("value"))).alias("text"))
 
@@ -259,7 +261,7 @@ def read_thesaurus(spark: SparkSession, path: str) -> DataFrame:
     """(concept, lang, term, status) of a TOML file; a term belongs to its first concept."""
     from quillspark.operators.querylang import normal_term, thesaurus_rows
 
-    text = spark.read.option("wholetext", "true").text(path).first().value
+    text = spark.read.text(path, wholetext=True).first().value
     seen: dict[str, str] = {}
     rows = [r for r in thesaurus_rows(text) if seen.setdefault(normal_term(r[2]), r[0]) == r[0]]
     return spark.createDataFrame(rows, "concept string, lang string, term string, status string")
@@ -267,5 +269,65 @@ def read_thesaurus(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of the cards in a folder."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     return raw.where(F.endswith("file", F.lit(".md")))
+
+
+PICTURE_ROWS = "path string, page_no int, image_no int, sha1 string, image binary"
+
+
+def picture_rows(files: DataFrame) -> DataFrame:
+    """(path, page_no, image_no, sha1, image) of the pictures in files (path, content): picture files, DOCX, PPTX and, with a library, PDF.
+
+    Pictures of a page are numbered in the order in which they stand there; a file that cannot be
+    read has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                rows = [(path, page, k, hashlib.sha1(image).hexdigest(), image) for page, k, image in pictures_in(path, content or b"")]
+                if rows:
+                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "page_no", "image_no", "sha1", "image"])
+
+    return files.select("path", "content").mapInArrow(run, PICTURE_ROWS)
+
+
+def pictures_in(path: str, content: bytes) -> list[tuple[int, int, bytes]]:
+    """(page, number on the page, bytes) of the pictures of one file."""
+    ext = "." + path.rsplit(".", 1)[-1].lower()
+    try:
+        if ext in PICTURES:
+            return [(1, 1, content)] if content else []
+        if ext == ".docx":
+            return [(1, k, x) for k, x in enumerate(_embedded(zipfile.ZipFile(io.BytesIO(content)), "word/document.xml"), 1)]
+        if ext == ".pptx":
+            archive = zipfile.ZipFile(io.BytesIO(content))
+            slides = sorted((int(m[1]), m[0]) for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+            return [(page, k, x) for page, (_, name) in enumerate(slides, 1) for k, x in enumerate(_embedded(archive, name), 1)]
+        if ext == ".pdf":
+            import fitz  # type: ignore[import-not-found]
+
+            doc = fitz.open(stream=content, filetype="pdf")
+            return [(i + 1, k, doc.extract_image(x[0])["image"]) for i in range(len(doc)) for k, x in enumerate(doc[i].get_images(), 1)]
+    except Exception:  # noqa: BLE001 - a broken file has no pictures
+        return []
+    return []
+
+
+def _embedded(archive: zipfile.ZipFile, part: str) -> list[bytes]:
+    """The pictures that a part of an Office file shows, in order."""
+    folder, name = part.rsplit("/", 1)
+    links = f"{folder}/_rels/{name}.rels"
+    if links not in archive.namelist():
+        return []
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read(links))}
+    out = []
+    for blip in ElementTree.fromstring(archive.read(part)).iter(f"{_A}blip"):
+        target = targets.get(blip.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"))
+        if target:
+            full = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+            if full in archive.namelist():
+                out.append(archive.read(full))
+    return out
