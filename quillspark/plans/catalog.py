@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import incremental_queries, more_queries, project_queries, registry, report_queries, search_queries, text_queries  # noqa: F401
+from quillspark.plans import coverage_queries, incremental_queries, more_queries, project_queries, registry, report_queries, search_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ import hashlib
 import io
 import posixpath
 import re
+import shutil
+import subprocess
+import tempfile
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -24,6 +27,9 @@ from quillspark.functions.text import clean_text, number_pictures, path_key
 from quillspark.operators.filters import is_excluded
 
 PAGES = "path string, status string, title string, n_pages int, error string, pages array<struct<page_no:int,text:string>>"
+#: Legacy formats and what they are converted to, by which program, and how long that may take.
+LEGACY = {".doc": "docx", ".ppt": "pptx"}
+CONVERTER, CONVERTER_SECONDS = "soffice", 300.0
 PICTURES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp")
 
 
@@ -104,6 +110,8 @@ def extract_bytes(path: str, content: bytes | None) -> tuple[str, str | None, li
             return _status(pptx_slides(content), None)
         if ext == ".pdf":
             return pdf_pages(content)
+        if ext in LEGACY:
+            return converted_pages(content, ext)
         if ext in PICTURES:
             return "no_text", re.sub(r"[_\-]+", " ", name.rsplit(".", 1)[0]).strip(), [""], None
         return "skipped", None, [], f"no reader for {ext or 'files without extension'}"
@@ -244,6 +252,30 @@ def pdf_pages(content: bytes, most: int = 3000) -> tuple[str, str | None, list[s
     return status, (doc.metadata or {}).get("title") or None, pages, None
 
 
+def converted_pages(content: bytes, ext: str, command: str = CONVERTER, seconds: float = CONVERTER_SECONDS) -> tuple[str, str | None, list[str], str | None]:
+    """Pages of a legacy Office file, by an external converter that is stopped when it takes too long.
+
+    The converter's files are in a folder of the task that goes with it.
+    """
+    program = shutil.which(command)
+    if program is None:
+        return "skipped", None, [], f"no converter for {ext}"
+    target = LEGACY[ext]
+    with tempfile.TemporaryDirectory(prefix="quillspark-convert-") as folder:
+        with open(f"{folder}/in{ext}", "wb") as f:
+            f.write(content)
+        arguments = [program, f"-env:UserInstallation=file://{folder}/profile", "--headless", "--convert-to", target, "--outdir", folder, f"{folder}/in{ext}"]
+        try:
+            subprocess.run(arguments, timeout=seconds, capture_output=True, check=True)
+            with open(f"{folder}/in.{target}", "rb") as f:
+                made = f.read()
+        except subprocess.TimeoutExpired:
+            return "error", None, [], f"the converter took over {seconds:g} s"
+        except (subprocess.CalledProcessError, OSError) as e:
+            return "error", None, [], f"the converter failed: {e}"[:500]
+    return _status(docx_pages(made) if target == "docx" else pptx_slides(made), None)
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, text): Markdown files with numbered picture marks, natively."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

@@ -90,6 +90,21 @@ def test_pictures_of_files():
     assert files.pictures_in("s.txt", b"x") == []
 
 
+def test_legacy_files_by_a_converter(tmp_path):
+    assert files.extract_bytes("a.doc", b"x")[0] in ("skipped", "error")
+    tool = tmp_path / "convert"
+    # what the converter's last arguments say is where its result goes
+    tool.write_text('#!/bin/sh\nfor last; do :; done\ncp "$last" "$(dirname "$last")/in.pptx"\n')
+    tool.chmod(0o755)
+    status, _, pages, error = files.converted_pages(_pptx(), ".ppt", str(tool))
+    assert (len(pages), error) == (2, None)
+    tool.write_text("#!/bin/sh\nexit 3\n")
+    assert files.converted_pages(b"x", ".doc", str(tool))[0] == "error"
+    tool.write_text("#!/bin/sh\nexec sleep 30\n")
+    assert "took over" in files.converted_pages(b"x", ".doc", str(tool), 0.2)[3]
+    assert files.converted_pages(b"x", ".doc", str(tmp_path / "none"))[0] == "skipped"
+
+
 @pytest.fixture()
 def tree(spark, tmp_path):
     root = tmp_path / "tree [1]"
