@@ -18,19 +18,21 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
+import struct
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import steps
+from quillspark.llm.common import Remembered, steps
 
 #: The pre-tokenizer pattern that a ByteLevel tokenizer file stands for; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's caches of encoded chunks and of compatible pairs; a full cache is emptied.
+#: Entries of each generation of a worker's caches of pieces and chunks (later: those behind a blank), and half of those of compatible pairs.
 CACHE = 250_000
+LATER_CACHE = 600_000
 
 
 def byte_alphabet() -> list[str]:
@@ -41,6 +43,17 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class Alphabet(dict):
+    """For each code point its UTF-8 bytes in the alphabet that byte-level vocabularies are written in."""
+
+    def __init__(self):
+        self.letters = byte_alphabet()
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join(self.letters[b] for b in chr(point).encode("utf-8", "surrogatepass"))
+        return self[point]
+
+
 class PrefixBpe:
     """An encoder and decoder for a byte-level BPE tokenizer file of the tokenizers library."""
 
@@ -50,9 +63,8 @@ class PrefixBpe:
             raise ValueError("not a plain byte-level BPE file")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        alphabet = byte_alphabet()
-        self.to_alphabet = {b: c for b, c in enumerate(alphabet)}
-        byte_of = {c: b for b, c in enumerate(alphabet)}
+        self.alphabet = Alphabet()
+        byte_of = {c: b for b, c in enumerate(self.alphabet.letters)}
         size = max([*self.vocab.values(), *self.special.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
         for word, i in self.vocab.items():
@@ -76,11 +88,13 @@ class PrefixBpe:
         self.words.make_automaton()
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.runs = regex.compile(r"\s\s|^\s|\s$").search
+        self.runs = _has_runs
         self.single = regex.compile(r"(?<=\S) (?=\S)").split
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.size = size
+        self.fits: dict[int, bool] = {}
+        self.pieces = Remembered(self._packed_piece, CACHE)
+        self.first = Remembered(self._packed, CACHE)
+        self.later = Remembered(lambda x: self._packed(" " + x), LATER_CACHE)
         self.text = [str(i) for i in range(size)]
 
     def _stands_alone(self, token: int) -> bool:
@@ -115,7 +129,7 @@ class PrefixBpe:
                 until, right = b + 1, parts[right][0]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * self.size + right
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= 2 * CACHE:
@@ -123,78 +137,75 @@ class PrefixBpe:
             known = self.fits[key] = self._compatible(left, right)
         return known
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> list[int]:
         """The ids of one piece, by the dynamic programming over its prefixes."""
-        word = "".join(map(self.to_alphabet.__getitem__, piece.encode("utf-8", "surrogatepass")))
-        last: list[tuple[int, int]] = [(0, -1)] * (len(word) + 1)
-        compatible = self.compatible
+        word = piece.translate(self.alphabet)
+        n = len(word)
+        # the length of the last token of each prefix, and the token
+        sizes, last = [0] * (n + 1), [-1] * (n + 1)
+        known, count, compatible = self.fits.get, self.size, self.compatible
         for end, (size, token) in self.words.iter(word):
             at = end + 1
-            if last[at][0]:
+            if sizes[at]:
                 continue
             before = at - size
-            if before == 0 or last[before][0] and compatible(last[before][1], token):
-                last[at] = (size, token)
+            if before:
+                if not sizes[before]:
+                    continue
+                fits = known(last[before] * count + token)
+                if not (compatible(last[before], token) if fits is None else fits):
+                    continue
+            sizes[at], last[at] = size, token
         out = []
-        at = len(word)
+        at = n
         while at:
-            size, token = last[at]
-            if not size:
+            if not sizes[at]:
                 raise ValueError(f"no encoding of {piece!r}")
-            out.append(token)
-            at -= size
-        return tuple(reversed(out))
-
-    def _plain(self, text: str) -> list[tuple[int, ...]]:
-        """Ids of a text without special tokens, as one tuple for each piece."""
-        out = []
-        pieces = self.pieces
-        for piece in self.split(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) < 64:
-                    if len(pieces) >= CACHE:
-                        pieces.clear()
-                    pieces[piece] = ids
-            out.append(ids)
+            out.append(last[at])
+            at -= sizes[at]
+        out.reverse()
         return out
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self._plain(chunk)))
-        if len(chunk) < 64:
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
-
-    def _spaced(self, text: str) -> list[int]:
-        if not text:
-            return []
+    def _packed_piece(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _packed(self, text: str) -> bytes:
+        """Ids, as uint32, of a text without special tokens."""
+        body = text[1:] if text[:1] == " " else text
+        # letters alone are one piece, and so is a mark behind them
+        if body.isalpha():
+            return self._packed_piece(text)
+        if body[:-1].isalpha() and body[-1] in ".,;:!?":
+            return self.pieces[text[:-1]] + self.pieces[text[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+    def _spaced(self, text: str) -> bytes:
         # a piece never goes across a single blank between others; it begins with it
         first, *rest = self.single(text) if self.runs(text) else text.split(" ")
-        get, chunk = self.chunks.get, self._chunk
-        out: list[int] = list(get(first) or chunk(first))
-        for x in rest:
-            x = " " + x
-            out += get(x) or chunk(x)
-        return out
+        return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian uint32."""
         if self.cut is None:
             return self._spaced(text)
         parts = self.cut(text)
-        if len(parts) == 1:
-            return self._spaced(text)
-        out: list[int] = []
-        for i, part in enumerate(parts):
-            out += [self.special[part]] if i % 2 else self._spaced(part)
-        return out
+        return b"".join(self.special[part].to_bytes(4, "little") if i % 2 else self._spaced(part) for i, part in enumerate(parts))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _has_runs(text: str) -> bool:
+    """Whether text may begin or end with white space, or have a blank beside other white space."""
+    if not text.replace("\n", " ").isprintable():  # other white space, perhaps
+        return True
+    return "  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace()
+
+
 _LOADED: dict[str, PrefixBpe] = {}
 
 
@@ -244,7 +255,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
     def run(batches):
         coder = worker_encoder(shared)
         for batch in steps(batches, text):
-            ids = pa.array([coder.encode(x or "") for x in batch.column(text).to_pylist()], pa.list_(pa.int32()))
+            packed = [coder.encode_packed(x or "") for x in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, column])
 
     return docs.mapInArrow(run, _with(docs, column, "array<int>"))

@@ -145,3 +145,25 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def table_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+class Remembered(dict):
+    """What ``make`` returns for a key, for short keys in two generations of ``size`` entries.
+
+    When the young generation is full it becomes the old one, and what is still in use moves back,
+    so frequent keys stay and memory is bounded.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], size: int, longest: int = 64):
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -41,8 +41,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import byte_alphabet, load
-from quillspark.llm.common import flat, keep, scratch, steps
+from quillspark.llm.bpe import Alphabet, load
+from quillspark.llm.common import Remembered, keep, scratch, steps
 
 LIMIT = 16
 #: Random texts, and their characters, on which a loaded tokenizer's short cuts are held against the library.
@@ -73,17 +73,6 @@ def apart(text: str) -> str:
     return text.replace(".", " .").replace(",", " ,")
 
 
-class _Alphabet(dict):
-    """For each code point its UTF-8 bytes in the alphabet that byte-level vocabularies are written in."""
-
-    def __init__(self):
-        self.letters = byte_alphabet()
-
-    def __missing__(self, point: int) -> str:
-        self[point] = "".join(self.letters[b] for b in chr(point).encode("utf-8", "surrogatepass"))
-        return self[point]
-
-
 class _Packers(dict):
     """For each number of ids the function that packs so many."""
 
@@ -95,24 +84,6 @@ class _Packers(dict):
         return self[n]
 
 
-class _Cache(dict):
-    """What ``make`` returns for a key, in two generations: when the young one is full it becomes the old one, and what is still in use moves back."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) < 64:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class ChunkEncoder:
     """Ids of texts by a tokenizers file, as packed bytes, through a cache of the chunks between spaces and line ends.
 
@@ -128,7 +99,7 @@ class ChunkEncoder:
 
         spec = json.loads(data)
         self.kind = kind
-        self.alphabet, self.packers = _Alphabet(), _Packers("H" if kind == "<u2" else "I")
+        self.alphabet, self.packers = Alphabet(), _Packers("H" if kind == "<u2" else "I")
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -153,7 +124,7 @@ class ChunkEncoder:
             self._forget()
 
     def _forget(self) -> None:
-        self.plain, self.other = _Cache(self._plain_chunk), _Cache(self._whole)
+        self.plain, self.other = Remembered(self._plain_chunk, CACHE), Remembered(self._whole, CACHE)
 
     def _trials(self) -> list[str]:
         """The same random texts for every load: words, marks, digits, blanks of all kinds, special tokens, accents apart."""
