@@ -99,9 +99,11 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "map":
         print(*index.world_map(), sep="\n")
     elif a.command == "check-cards":
-        issues = index.check_cards(a.folder).orderBy("file", "level", "message").collect()
-        print(*(f"{i.file}: {i.level}: {i.message}" for i in issues), sep="\n")
-        return int(any(i.level == "error" for i in issues))
+        errors = 0
+        for i in index.check_cards(a.folder).orderBy("file", "level", "message").toLocalIterator():
+            print(f"{i.file}: {i.level}: {i.message}")
+            errors += i.level == "error"
+        return int(errors > 0)
     else:
         frame = {
             "search": lambda: index.search(a.text, a.limit, a.mode, a.folder, a.file_type, a.after),
