@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; the arrays made for it take some fifty times as much.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -45,7 +45,7 @@ ANCHOR = 72
 #: Different contexts of an anchor from which on its suffixes are named one by one.
 HOT = 1024
 #: Bytes that one vectorised step looks at, and bytes of the texts of one sorted block.
-STEP, SORT_BLOCK = 1 << 19, 1 << 18
+STEP, SORT_BLOCK = 1 << 18, 1 << 17
 #: Text of a bucket of documents, and text whose anchors and contexts come together in a shard; a task has one of each in memory at a time.
 BUCKET_BYTES, SHARD_BYTES = 32 << 20, 64 << 20
 _PLACE_BITS = np.uint64(22)
