@@ -31,8 +31,8 @@ from quillspark.llm.common import Remembered, steps
 #: The pre-tokenizer pattern that a ByteLevel tokenizer file stands for; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each generation of a worker's caches of pieces and chunks (later: those behind a blank), and half of those of compatible pairs.
-CACHE = 250_000
-LATER_CACHE = 600_000
+CACHE = 100_000
+LATER_CACHE = 250_000
 
 
 def byte_alphabet() -> list[str]:
