@@ -386,11 +386,12 @@ def _apply(docs: pa.Table, told: pa.Table, length: int) -> pa.Table:
     windows = np.sort(_unpack(told, "windows", np.uint64)[0])
     text = docs.column("text").combine_chunks()
     data, offsets = flat(text)
-    change = np.zeros(len(data) + 1, np.int32)
+    # a place more for each document, so that each can be summed up alone
+    change = np.zeros(len(data) + len(offsets), np.int32)
     for piece, at, where in pieces(text, length) if len(keys) or len(windows) else ():
         step = Step(piece, at, length)
-        # from a place in the step to one in the bucket's bytes
-        base = np.array([offsets[r] + first for r, first in where])
+        # from a place in the step to one in the bucket
+        base = np.array([offsets[r] + r + first for r, first in where])
         moved = lambda x: x - at[p := np.searchsorted(at, x, "right") - 1] + base[p]  # noqa: B023, E731
         left, right = np.searchsorted(keys, step.context), np.searchsorted(keys, step.context, "right")
         count = right - left
@@ -406,10 +407,9 @@ def _apply(docs: pa.Table, told: pa.Table, length: int) -> pa.Table:
             hit = moved(hit)
             np.add.at(change, hit, 1)
             np.add.at(change, hit + length, -1)
-    gone = np.cumsum(change[:-1]) > 0
     spans, kept = [], []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        mine = gone[a:b]
+    for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        mine = np.cumsum(change[a + r : b + r], dtype=np.int32) > 0
         if mine.any():
             edges = np.flatnonzero(np.diff(np.r_[0, mine.astype(np.int8), 0]))
             spans.append([{"start": s, "end": e} for s, e in zip(edges[::2].tolist(), edges[1::2].tolist())])
