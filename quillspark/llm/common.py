@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +52,30 @@ def clean_up(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of an Arrow batch while a table is written by keep(); Spark's own limit is eight times as much.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for what is run inside; afterwards the setting is as it was."""
+    before = dict(spark.conf.getAll).get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_SETTING)
+        else:
+            spark.conf.set(_BATCH_SETTING, before)
+
+
 def keep(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
