@@ -26,13 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import Remembered, steps
+from quillspark.llm.common import Remembered, resident, steps
 
 #: The pre-tokenizer pattern that a ByteLevel tokenizer file stands for; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each generation of a worker's caches of pieces and chunks (later: those behind a blank), and half of those of compatible pairs.
-CACHE = 100_000
-LATER_CACHE = 250_000
+CACHE = 60_000
+LATER_CACHE = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -206,16 +206,10 @@ def _has_runs(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace()
 
 
-_LOADED: dict[str, PrefixBpe] = {}
-
-
 def worker_encoder(shared) -> PrefixBpe:
     """The encoder of this worker process, made once from the broadcast tokenizer file."""
     name, data = shared.value
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = PrefixBpe(json.loads(data))
-    return _LOADED[name]
+    return resident(f"bpe {name}", lambda: PrefixBpe(json.loads(data)))
 
 
 def load(spark: SparkSession, path: str):

@@ -188,3 +188,19 @@ class Remembered(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]):
+    """The one large object that a worker process keeps from task to task, made when another one was there or none."""
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
+
+
+def release() -> None:
+    """Lets go of what an earlier job left in this worker process; called by tasks that need none of it."""
+    _RESIDENT.clear()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import flat, mix, prefix_hash, runs, shielded, span_hash, steps
+from quillspark.llm.common import flat, mix, prefix_hash, release, runs, shielded, span_hash, steps
 
 WINDOW = 8
 #: Item text of one block of windows.
@@ -165,6 +165,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "te
         return pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *ADDED])
 
     def run(batches):
+        release()
         for batch in batches:
             parts = [(p, [set() for _ in range(p.num_rows)], []) for p in steps([batch], text)]
             for block in blocks if len(blocks) > 1 else ():

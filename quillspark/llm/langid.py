@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import steps
+from quillspark.llm.common import release, steps
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -106,6 +106,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n): how often each n-gram occurs in all texts of a language."""
 
     def run(batches):
+        release()
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in steps(batches):
             parts: dict[str, list[np.ndarray]] = {}
@@ -151,6 +152,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
     made: list[Profiles] = []
 
     def run(batches):
+        release()
         if not made:
             made.append(Profiles(shared.value, size))
         for batch in steps(batches, text):

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import Alphabet, load
-from quillspark.llm.common import Remembered, keep, scratch, steps
+from quillspark.llm.common import Remembered, keep, resident, scratch, steps
 
 LIMIT = 16
 #: Random texts, and their characters, on which a loaded tokenizer's short cuts are held against the library.
@@ -156,9 +156,6 @@ class ChunkEncoder:
         return b"".join(map(self.other.__getitem__, pieces(text)))
 
 
-_LOADED: dict[str, ChunkEncoder] = {}
-
-
 def id_kind(path: str, end_id: int | None = None) -> str:
     """The smallest of uint16 and uint32, little-endian, that holds all ids of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
@@ -179,10 +176,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "te
 
     def run(batches):
         name, data = shared.value
-        if name not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name] = ChunkEncoder(data, kind)
-        coder = _LOADED[name]
+        coder = resident(f"chunks {name} {kind}", lambda: ChunkEncoder(data, kind))
         total = np.zeros(1, np.int64)
         names = ["doc_id", "ids", "counts"]
         for batch in steps(batches, text):
