@@ -257,8 +257,8 @@ def _candidates(sk: np.ndarray, n: np.ndarray, part: np.ndarray, apart: bool, gr
             yield a, b, e, first
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal (v, cell_i, cell_j), those of one row left out."""
+def _lists(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[pa.Table]:
+    """Consecutive rows with equal (v, cell_i, cell_j), at least ``least`` of them."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -268,10 +268,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         edge = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1 if table.num_rows else np.zeros(0, np.int64)
         cuts = [0, *edge.tolist()]
         for a, b in zip(cuts, cuts[1:]):
-            if b - a > 1:
+            if b - a >= least:
                 yield table.slice(a, b - a)
         rest = table.slice(cuts[-1]).combine_chunks()
-    if rest is not None and rest.num_rows > 1:
+    if rest is not None and rest.num_rows >= least:
         yield rest
 
 
@@ -295,7 +295,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _proposed(rows: DataFrame) -> DataFrame:
     """(a, b): every member's best estimated partner, and the partners of the list's medoid.
 
-    (a, a) is a member of a long list whose block has no partner for it.
+    (a, a) is a member of a long list whose block has no partner for it, or no other member.
     """
 
     def run(batches):
@@ -311,7 +311,9 @@ def _proposed(rows: DataFrame) -> DataFrame:
             out[0], out[1] = [], []
             return batch
 
-        for table in _lists(batches):
+        for table in _lists(batches, least=1):
+            if table.num_rows == 1 and table.column("cell_i")[0].as_py() == 0:
+                continue
             ids, n, sk, part, apart, here = _members(table)
             dealt = table.column("cell_i")[0].as_py() > 0
             best, partner = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)

@@ -8,6 +8,7 @@ from collections import Counter
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -552,6 +553,21 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 2)[1]
 
 
+def test_few_near_copies_in_a_long_list_of_lone_members(spark, monkeypatch):
+    """What is left of a long list falls into blocks of one member each."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "FIRST_BLOCK", 4)
+    passages = ([f"p{i}x{k}" for i in range(5)] for k in range(3000))
+    least = lambda words: next(minhash.shingle_sets(*minhash.flat(pa.array([" ".join(words)])), 5))[0]
+    passage = min(passages, key=least)  # its hash is the smallest of every document
+    texts = [" ".join([*passage, *(f"y{i}x{k}" for k in range(12))]) for i in range(80)]
+    for i in range(3):
+        words = [*passage, *(f"z{i}x{k}" for k in range(60))]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
+
+
 def test_components_of_a_path(spark):
     links = spark.range(0, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.id: r.comp for r in minhash.components(links).collect()}
