@@ -30,9 +30,10 @@ from quillspark.llm.common import Remembered, resident, steps
 
 #: The pre-tokenizer pattern that a ByteLevel tokenizer file stands for; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of each generation of a worker's caches of pieces and chunks (later: those behind a blank), and half of those of compatible pairs.
+#: Entries of each generation of a worker's caches of pieces and chunks (later: those behind a blank), and pairs of tokens whose compatibility it keeps.
 CACHE = 60_000
 LATER_CACHE = 150_000
+PAIRS = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -132,7 +133,7 @@ class PrefixBpe:
         key = left * self.size + right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 2 * CACHE:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -177,8 +178,12 @@ class PrefixBpe:
         if body.isalpha():
             return self._packed_piece(text)
         if body[:-1].isalpha() and body[-1] in ".,;:!?":
-            return self.pieces[text[:-1]] + self.pieces[text[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+            return self._piece(text[:-1]) + self.pieces[text[-1]]
+        return b"".join(map(self._piece, self.split(text)))
+
+    def _piece(self, piece: str) -> bytes:
+        # letters behind a blank are a chunk as well, so they are kept once
+        return self.later[piece[1:]] if piece[:1] == " " and piece[1:].isalpha() else self.pieces[piece]
 
     def _spaced(self, text: str) -> bytes:
         # a piece never goes across a single blank between others; it begins with it

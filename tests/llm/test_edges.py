@@ -364,6 +364,16 @@ def test_bpe_edges(coder_pair, spark, odd, none):
     assert bpe.encode(none, path).collect() == []
 
 
+def test_a_word_is_encoded_once_with_and_without_marks(coder_pair, monkeypatch):
+    mine, theirs = coder_pair
+    seen = []
+    encode_piece = mine.encode_piece
+    monkeypatch.setattr(mine, "encode_piece", lambda piece: seen.append(piece) or encode_piece(piece))
+    text = "a quoxilarbant quoxilarbant, quoxilarbant*** quoxilarbant."
+    assert mine.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    assert seen.count(" quoxilarbant") == 1
+
+
 def test_language_id(spark, odd, none):
     train = spark.createDataFrame([("the house of the king and the queen", "en"), ("das haus und der könig und die", "de"), (None, "de"), ("x", None)], "text string, lang string")
     profiles = langid.learn(train)
