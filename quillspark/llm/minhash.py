@@ -1,8 +1,10 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
 A document's set is its distinct word shingles; its sketch is the ``SKETCH`` smallest hashes of
-the set. Documents with equal sets are one class from the start. The inverted lists of the
-``LISTED`` smallest retained values of every class generate overlaps; the estimate over the
+the set. Documents with equal sets are one class from the start. A class of which so many retained
+values are its own alone that no estimate can reach the limit has no link and is in no list: most
+classes are like that, those with a passage common to many documents among them. The inverted lists
+of the ``LISTED`` smallest retained values of the others generate overlaps; the estimate over the
 sketch of the union filters them; the exact Jaccard similarity of the full sets verifies.
 
 Of two sets with similarity s, the smallest hash of the union lies in both with probability s, so
@@ -15,8 +17,6 @@ Links are found in two rounds. In the first every member of a list proposes only
 partner and the list's medoid (the member whose retained values are the most common). A list of more
 than ``BLOCK`` members is dealt out at random into blocks for this, by another hash for each list,
 so the work is linear in its members; a group of copies shares several lists, whose blocks overlap.
-A member of which so many retained values are its own alone that no estimate can reach the limit is
-left out of long lists: those that a passage common to many documents makes consist of such members.
 After these links are verified and contracted to components, the second round takes all remaining
 pairs of different components that the estimate lets through, without any cap: the full sets of
 their members, and of no others, go to the tasks of the lists, which verify the pairs in place and
@@ -127,10 +127,11 @@ def _explode(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "v long, id long, n long, sketch binary" + "".join(f", {c} long" for c in names))
 
 
-def _lone(nodes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(id) of the members of some lists (v) that have too few values in common with other members for any link.
+def _linkable(nodes: DataFrame) -> DataFrame:
+    """The nodes that have enough values in common with others for any link.
 
-    Counted by the values that one member alone has, so no task gets all members of a common value.
+    Counted over all nodes, whatever the lengths of their lists, so the rows are in proportion to the documents;
+    and by the values that one node alone has, so no task gets all nodes of a common value.
     """
 
     def run(batches):
@@ -142,43 +143,31 @@ def _lone(nodes: DataFrame, lists: DataFrame) -> DataFrame:
                 values.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (ids, values)], names=["id", "value"])
 
-    members = keep(_explode(nodes).join(lists.select("v"), "v", "left_semi").select("id").distinct(), "minhash-members")
-    some = nodes.join(members, "id", "left_semi")
-    values = some.select("id", "sketch").mapInArrow(run, "id long, value long")
-    own = values.groupBy("value").agg(F.count("*").alias("_c"), F.min("id").alias("id")).where("_c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    values = nodes.select("id", "sketch").mapInArrow(run, "id long, value long")
+    own = values.groupBy("value").agg(F.count("*").alias("_c"), F.min("id").alias("id")).where("_c = 1").groupBy("id").agg(F.count("*").alias("_own"))
     size = F.least(F.col("n"), F.lit(SKETCH))
-    return some.join(own, "id").where(size - F.col("own") < F.ceil(LEAST_ESTIMATE * size - 1e-9)).select("id")
+    return nodes.join(own, "id", "left").where(size - F.coalesce("_own", F.lit(0)) >= F.ceil(LEAST_ESTIMATE * size - 1e-9)).drop("_own")
 
 
-def _listed(nodes: DataFrame, large: DataFrame, lone: DataFrame) -> DataFrame:
-    """The rows of all lists but those of lone members in long lists; _m is null in short lists."""
-    rows = _explode(nodes.join(lone.withColumn("lone", F.lit(1).cast("long")), "id", "left"))
-    return rows.join(large, "v", "left").where("_m is null or lone is null").drop("lone")
-
-
-def _spread(nodes: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
-    """The rows of all lists with cell_i, cell_j and part for the first round; and the long lists with their lone members.
-
-    Whole lists are cell 0, longer ones are random blocks from 1.
-    """
+def _spread(nodes: DataFrame) -> DataFrame:
+    """The rows of all lists with cell_i, cell_j and part for the first round: whole lists are cell 0, longer ones are random blocks from 1."""
     rows = _explode(nodes)
     large = keep(rows.groupBy("v").agg(F.count("*").alias("_m")).where(F.col("_m") > BLOCK), "minhash-large")
     if large.isEmpty():
-        return rows.withColumns({"cell_i": F.lit(0), "cell_j": F.lit(0), "part": F.lit(0)}), None
-    lone = keep(_lone(nodes, large), "minhash-lone")
+        return rows.withColumns({"cell_i": F.lit(0), "cell_j": F.lit(0), "part": F.lit(0)})
     block = F.pmod(F.xxhash64("id", "v"), F.ceil(F.col("_m") / FIRST_BLOCK)).cast("int") + 1
-    dealt = _listed(nodes, large, lone).withColumn("cell_i", F.coalesce(block, F.lit(0))).drop("_m")
-    return dealt.withColumns({"cell_j": F.col("cell_i"), "part": F.lit(0)}), (large, lone)
+    dealt = rows.join(large, "v", "left").withColumn("cell_i", F.coalesce(block, F.lit(0))).drop("_m")
+    return dealt.withColumns({"cell_j": F.col("cell_i"), "part": F.lit(0)})
 
 
-def _cells(nodes: DataFrame, long: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+def _cells(nodes: DataFrame) -> DataFrame:
     """The rows of all lists, with comp; adds cell_i, cell_j and part for the second round, in which all pairs of different comps of a list meet.
 
     Lists of one comp are left out, and whole lists are cell (0, 0). A longer one is dealt into blocks, those
     of its largest comp first; a cell is a pair of blocks, unless both are of that comp.
     """
     n, comp = F.count("*").alias("_m"), F.col("comp")
-    rows = _explode(nodes) if long is None else _listed(nodes, *long).drop("_m")
+    rows = _explode(nodes)
     lists = keep(rows.groupBy("v").agg(n, F.min(comp).alias("_low"), F.max(comp).alias("_high")).where("_low <> _high").select("v", "_m"), "minhash-lists")
     rows = rows.join(lists, "v")
     large = lists.where(F.col("_m") > BLOCK)
@@ -472,22 +461,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mine = classes.select("id", *_SET, F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))
     nodes = known.join(mine, [*_SET]).where(F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
     nodes = keep(nodes.select("id", "n", "sketch").dropDuplicates(["id"]), "nodes")
-    rows, long = _spread(nodes)
-    told = keep(_proposed(rows), "pairs")
-    proposed, alone = told.where("a <> b"), told.where("a = b").select(F.col("a").alias("id"))
-    ends = keep(proposed.select(F.col("a").alias("id")).union(proposed.select("b")).distinct(), "ends")
+    nodes = keep(_linkable(nodes), "linkable")
+    told = keep(_proposed(_spread(nodes)), "pairs")
+    # both rounds need the sets of these members and of no others, so the texts are dealt out once
+    ends = keep(told.select(F.col("a").alias("id")).union(told.select("b")).distinct(), "ends")
     sets = keep(full_sets(docs, classes.join(ends, "id"), width), "sets")
-    links = keep(verified(proposed, sets, percent), "verified")
+    links = keep(verified(told.where("a <> b"), sets, percent), "verified")
     of_ids = _links_of_ids(known, classes)
     links = links if of_ids is None else keep(links.union(of_ids), "links")
     found = components(links)
     # what is left between components
-    some = nodes.join(ends.union(alone).distinct(), "id", "left_semi").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    contested = keep(_contested(_cells(keep(some, "members"), long)), "contested")
+    some = nodes.join(ends, "id", "left_semi").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    contested = keep(_contested(_cells(keep(some, "members"))), "contested")
     if not contested.isEmpty():
-        rest = keep(contested.select("id").distinct().join(ends, "id", "left_anti"), "late-ends")
-        if not rest.isEmpty():
-            sets = sets.union(keep(full_sets(docs, classes.join(rest, "id"), width), "late-sets"))
         more = keep(_linked_in_lists(contested, sets, percent), "links")
         if not more.isEmpty():
             found = components(links.union(more))

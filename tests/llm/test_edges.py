@@ -578,6 +578,55 @@ def test_few_near_copies_in_a_long_list_of_lone_members(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
 
 
+def test_rows_grow_with_the_documents(spark, monkeypatch):
+    """Five times the documents make five times the rows, also where a list of lone members passes the length of a block."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "FIRST_BLOCK", 4)
+    frame = type(spark.range(0))
+    plain, made = frame.mapInArrow, []
+
+    def noted(self, run, schema, *args):
+        made.append((str(schema), plain(self, run, schema, *args)))
+        return made[-1][1]
+
+    passage = [f"p{i}" for i in range(20)]
+
+    def rows(k):
+        texts = [" ".join([*passage, *(f"y{i}x{j}" for j in range(60))]) for i in range(10 * k)]
+        for i in range(3 * k):
+            words = [f"z{i}x{j}" for j in range(60)]
+            texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+        made.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
+        counts = Counter()
+        for schema, table in made:
+            counts[schema] += table.count()
+        return counts
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    few, many = rows(1), rows(5)
+    assert all(many[x] <= 6 * few[x] for x in many), (few, many)
+
+
+def test_texts_are_dealt_out_once(spark, monkeypatch):
+    """Also where the second round links members that found no partner in the first."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "FIRST_BLOCK", 1)
+    plain, calls = minhash.full_sets, []
+    monkeypatch.setattr(minhash, "full_sets", lambda *args: calls.append(args) or plain(*args))
+    passages = ([f"p{i}x{k}" for i in range(5)] for k in range(3000))
+    least = lambda words: next(minhash.shingle_sets(*minhash.flat(pa.array([" ".join(words)])), 5))[0]
+    passage = min(passages, key=least)  # the only list in which a pair is looked at
+    texts = []
+    for i in range(8):
+        words = [*passage, *(f"z{i}x{k}" for k in range(60))]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
+    assert len(calls) == 1
+
+
 def test_components_of_a_path(spark):
     links = spark.range(0, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.id: r.comp for r in minhash.components(links).collect()}
