@@ -42,6 +42,11 @@ def client_is(column: str, values: str) -> Column:
     return any_of([F.contains(F.col(column), F.concat(F.lit(" "), fold_ascii(F.lit(v)), F.lit(" "))) for v in values_of(values)])
 
 
+def client_number_is(column: str, value: str) -> Column:
+    """The last digits of a number in a client's name, at its end or before a #."""
+    return F.contains(F.concat(F.lower(column), F.lit("#")), F.lit(value.lower() + "#"))
+
+
 def country_is(column: str, values: str) -> Column:
     return facet_is(column, values)
 
