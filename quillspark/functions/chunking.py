@@ -1,22 +1,29 @@
 """Lossless chunking of page texts.
 
 A chunk ends at the last of the best separators between half the target size and the largest
-size. Where the next chunk begins depends on the cut before, so this is one of the few functions
-that run in Python, over Arrow batches.
+size. Where the next chunk begins depends on the cut before, so one pattern goes from cut to cut:
+the rest of a text that is short enough, else as much as ends in the best separator, else the most.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.functions import fixed_values as V
 
 
+def chunk_pattern(breaks: tuple[str, ...] = V.CHUNK_BREAKS, target: int = V.CHUNK_TARGET, most: int = V.CHUNK_MAX) -> str:
+    """The chunk that begins where the last one ends; characters are code points. A rest that is too long is told at one place."""
+    least = target // 2
+    ends = [rf".{{0,{most - least - len(s)}}}{re.escape(s)}" for s in breaks]
+    return rf"(?s)\G(?:.{{1,{most}}}+\z|.{{{least}}}(?:" + "|".join([*ends, rf".{{{most - least}}}"]) + "))"
+
+
 def cut_points(text: str, target: int = V.CHUNK_TARGET, most: int = V.CHUNK_MAX) -> list[int]:
-    """The ends of the chunks of a text; the last is its length."""
+    """The ends of the chunks of a text; the last is its length. The pattern's rule step by step, for one text in Python."""
     ends, at = [], 0
     while len(text) - at > most:
         window = text[at + target // 2 : at + most]
@@ -29,14 +36,12 @@ def cut_points(text: str, target: int = V.CHUNK_TARGET, most: int = V.CHUNK_MAX)
     return ends
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def chunks_of(texts: pa.Array) -> pa.Array:
-    """The chunks of each text, in order; their concatenation is the text."""
-    out = []
-    for text in texts.to_pylist():
-        ends = cut_points(text or "")
-        out.append([text[a:b] for a, b in zip([0, *ends], ends)])
-    return pa.array(out, pa.list_(pa.string()))
+def chunks_of(text: Column) -> Column:
+    """The chunks of a text, in order; their concatenation is the text."""
+    # most texts lack the first separator, and no chunk of theirs is searched for it
+    first, *others = V.CHUNK_BREAKS
+    cut = lambda breaks: F.regexp_extract_all(text, F.lit(chunk_pattern(breaks)), F.lit(0))
+    return F.when(F.contains(text, F.lit(first)), cut(V.CHUNK_BREAKS)).otherwise(cut(tuple(others)))
 
 
 def chunk_rows(docs: DataFrame, text: Column | str = "text") -> DataFrame:
