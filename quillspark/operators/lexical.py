@@ -73,11 +73,43 @@ def find_names(files: DataFrame, query: Query, limit: int = 20) -> DataFrame:
     return search(rows, query, limit)
 
 
+def placed(words: Column) -> Column:
+    """The distinct words of a row in order, as (term, tf, positions from 0): sorted once, then cut where the word changes."""
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))
+
+    def runs(p: Column) -> Column:
+        n = F.size(p)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(p, i)["term"] != F.get(p, i - 1)["term"]))
+
+        def cut(starts: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                tf = F.coalesce(F.get(starts, k + 1), n) - start
+                return F.struct(F.get(p, start)["term"].alias("term"), tf.cast("long").alias("tf"), F.transform(F.slice(p, start + 1, tf), lambda x: x["place"]).alias("positions"))
+
+            return F.transform(starts, run)
+
+        return _bound(starts, cut)
+
+    return F.when(F.size(words) > 0, _bound(pairs, runs))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def postings(rows: DataFrame) -> DataFrame:
-    """The inverted index of (id, words, ...): term, id, tf, positions from 0, the row's length and its other columns."""
+    """The inverted index of (id, words, ...): term, id, tf, positions from 0, the row's length and its other columns.
+
+    Words are counted within their row, so they are not exchanged; only rows of an id that stands twice are, to be counted together.
+    """
     more = [c for c in rows.columns if c not in ("id", "words")]
-    each = rows.select("id", *more, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("place", "term"))
-    return each.groupBy("term", "id", "length", *more).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
+    length = F.size("words").cast("long").alias("length")
+    twice = F.broadcast(rows.groupBy("id").count().where("count > 1").select("id"))
+    apart = rows.join(twice, "id", "left_anti").select("id", *more, length, F.explode(placed(F.col("words"))).alias("p")).select("p.term", "id", "length", *more, "p.tf", "p.positions")
+    each = rows.join(twice, "id", "left_semi").select("id", *more, length, F.posexplode("words").alias("place", "term"))
+    together = each.groupBy("term", "id", "length", *more).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
+    return apart.unionByName(together)
 
 
 def corpus_figures(rows: DataFrame) -> tuple[int, float]:

@@ -5,6 +5,7 @@ import random
 import duckdb
 
 from quillspark.functions import chunking
+from quillspark.operators import lexical
 from quillspark.plans import catalog
 from quillspark.sources.files import html_text
 from tests.oracle import TABLES, same
@@ -61,3 +62,18 @@ def test_chunks_follow_the_cut_points(spark):
     for i, t in enumerate(texts):
         ends = chunking.cut_points(t or "")
         assert got[i] == [(t or "")[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+def test_postings_are_counted_within_rows(spark, sf_dir):
+    assert "collect_list" not in final_plan(QUERIES["postings_lists"](spark, sf_dir))
+
+
+def test_postings_of_odd_rows(spark):
+    rows = [(1, ["b", "a", "b", "é", "b"]), (2, []), (3, None), (4, ["a"]), (4, ["a"]), (5, ["", "z", ""])]
+    found = lexical.postings(spark.createDataFrame(rows, "id long, words array<string>")).collect()
+    assert sorted((r.term, r.id, r.length, r.tf, r.positions) for r in found) == [("", 5, 3, 2, [0, 2]), ("a", 1, 5, 1, [1]), ("a", 4, 1, 2, [0, 0]), ("b", 1, 5, 3, [0, 2, 4]), ("z", 5, 3, 1, [1]), ("é", 1, 5, 1, [3])]
