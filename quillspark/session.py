@@ -45,14 +45,27 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, *order: str) -> DataFrame:
-    """df written to the folder that driver and executors share, its files sorted by ``order``, and read again."""
+def stored(df: DataFrame, label: str, *order: str, dealt: bool = True) -> DataFrame:
+    """df written to the folder that driver and executors share, its files sorted by ``order``, and read again.
+
+    dealt: each file has a range of its own, for which df is made twice; otherwise every task sorts its own file.
+    """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    table = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    table = df.repartitionByRange(*order) if order and dealt else df
+    table = table.sortWithinPartitions(*order) if order else table
     table.write.parquet(path)
     return df.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def dealt_by(df: DataFrame, *keys: str, table: DataFrame | None = None) -> DataFrame:
+    """df dealt out by keys, over partitions whose number follows that of its scan (or of the scan of ``table``, from which it comes).
+
+    Aggregations by these keys, and more, then need no other exchange, and what a task holds does not grow with the input.
+    """
+    scanned = (df if table is None else table)._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * scanned), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, if its scan has fewer (one small file, say).
 
