@@ -196,17 +196,21 @@ def picture_answer(json: Column) -> Column:
     )
 
 
-#: A word of a recognised line: letters joined by an apostrophe or a hyphen, punctuation around it aside.
-_LINE_WORD = r"(?U)^[(\[{«\"'‘’“”„.,;:!?…/*•–—-]*\p{L}+(?:['’-]\p{L}+)*[)\]}»\"'‘’“”„.,;:!?…/*–—-]*$"
+#: A word of a recognised line: letters joined by an apostrophe or a hyphen, punctuation around it aside. Between
+#: blanks, with a vowel; and such words of two letters.
+_LINE_WORD = r"[(\[{«\"'‘’“”„.,;:!?…/*•–—-]*+\p{L}++(?:['’-]\p{L}++)*+[)\]}»\"'‘’“”„.,;:!?…/*–—-]*+"
 _VOWEL = "[aeiouyàâäáãåæèéêëìíîïòóôöõøœùúûüýÿAEIOUYÀÂÄÁÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØŒÙÚÛÜÝŸ]"
+_WORDS = rf"(?<![^ \t\n\f\r])(?=[^ \t\n\f\r]*?{_VOWEL}){_LINE_WORD}(?![^ \t\n\f\r])"
+_LONG_WORDS = rf"(?<![^ \t\n\f\r])(?=[^ \t\n\f\r]*?{_VOWEL})(?=[^ \t\n\f\r\p{{L}}]*+\p{{L}}[^ \t\n\f\r\p{{L}}]*+\p{{L}}){_LINE_WORD}(?![^ \t\n\f\r])"
 
 
 def keeps_line(line: Column) -> Column:
-    """Whether a recognised line is text: two words of two letters, and words for half of its tokens."""
-    parts = F.filter(F.split(line, r"\s+"), lambda t: t != "")
-    words = F.filter(parts, lambda t: F.rlike(t, F.lit(_LINE_WORD)) & F.rlike(t, F.lit(_VOWEL)))
-    long = F.filter(words, lambda t: F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 2)
-    return (F.size(long) >= 2) & (F.size(words) * 2 >= F.size(parts))
+    """Whether a recognised line is text: two words of two letters, and words for half of its tokens.
+
+    Each count is one pass over the line, and the cheap ones decide first.
+    """
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    return (count(_LONG_WORDS) >= 2) & (count(_WORDS) * 2 >= count(r"[^ \t\n\f\r]+"))
 
 
 def filter_lines(c: Column) -> Column:
@@ -298,5 +302,8 @@ def _under(root: str):
 
 def hash_terms(words: Column, dim: int) -> Column:
     """The bucket of each word: the first four bytes of its MD5, little-endian, modulo dim."""
-    value = lambda w: F.conv(F.concat(*[F.substring(F.md5(w), p, 2) for p in (7, 5, 3, 1)]), 16, 10).cast("long")
-    return F.transform(words, lambda w: (value(w) % dim).cast("int"))
+    if dim <= 256 and 256 % dim == 0:
+        # the remainder is that of the first byte alone
+        return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dim))
+    value = lambda h: F.conv(F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)]), 16, 10).cast("long")
+    return F.transform(F.transform(words, lambda w: F.md5(w)), lambda h: (value(h) % dim).cast("int"))
