@@ -34,10 +34,10 @@ def confirmed(evidence: DataFrame) -> DataFrame:
 
 def describe_machines(machines: DataFrame, most: int = 6) -> DataFrame:
     """(project, machines): the leading confirmed models, then families of which no model is confirmed."""
-    sure = machines.where("confirmed")
-    models = sure.where("model <> ''")
-    alone = sure.where("model = ''").join(models.select("project", "family").distinct(), ["project", "family"], "left_anti")
-    named = models.select("project", F.col("model").alias("name"), "docs", F.lit(0).alias("kind")).unionByName(alone.select("project", F.col("family").alias("name"), "docs", F.lit(1).alias("kind")))
+    is_model = F.coalesce(F.col("model") != "", F.lit(False))
+    has_model = F.bool_or(is_model).over(Window.partitionBy("project", "family")) & F.col("project").isNotNull() & F.col("family").isNotNull()
+    kind = F.when(is_model, F.lit(0)).when((F.col("model") == "") & ~has_model, F.lit(1))
+    named = machines.where("confirmed").withColumn("kind", kind).where("kind is not null").select("project", F.when(F.col("kind") == 0, F.col("model")).otherwise(F.col("family")).alias("name"), "docs", "kind")
     rank = F.row_number().over(Window.partitionBy("project").orderBy("kind", F.col("docs").desc(), "name"))
     top = named.withColumn("rank", rank).where(F.col("rank") <= most)
     return top.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("machines"))

@@ -9,7 +9,7 @@ from quillspark.functions.text import models_in
 from quillspark.operators import facets, filters, linkage, reports
 from quillspark.plans import adapters
 from quillspark.plans.registry import query
-from quillspark.session import read_table
+from quillspark.session import dealt_by, read_table
 
 
 @query("project_listing", f"""WITH {adapters.PROJECT_DOCS_SQL} SELECT project, collection, count(*)::BIGINT AS docs, max(mtime)::VARCHAR AS newest, string_agg(DISTINCT section, ', ' ORDER BY section) AS sections, string_agg(DISTINCT subproject, ', ' ORDER BY subproject) AS subprojects
@@ -133,9 +133,13 @@ machines AS (SELECT project, family, model, count(*) AS docs, count(*) FILTER (i
 
 def _machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
+    some = li.select(F.col("l_suppkey").alias("project"), F.col("l_orderkey").alias("doc_id"), "l_partkey", (F.col("l_returnflag") == "R").alias("in_name"))
+    # dealt out by project and document before families are told beside models; suppliers are named when they are counted
+    each = dealt_by(some.join(p, F.col("l_partkey") == F.col("p_partkey")).select("project", "doc_id", "p_type", "p_brand", "in_name"), "project", "doc_id", table=li)
     models = F.explode(F.array(F.concat("p_type", F.lit(" "), "p_brand"), F.lit("")))
-    each = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("project"), F.col("l_orderkey").alias("doc_id"), F.col("p_type").alias("family"), models.alias("model"), (F.col("l_returnflag") == "R").alias("in_name"))
-    return linkage.confirmed(each.groupBy("project", "doc_id", "family", "model").agg(F.bool_or("in_name").alias("in_name")))
+    each = each.select("project", "doc_id", F.col("p_type").alias("family"), models.alias("model"), "in_name")
+    found = linkage.confirmed(each.groupBy("project", "doc_id", "family", "model").agg(F.bool_or("in_name").alias("in_name")))
+    return found.withColumn("project", F.concat(F.lit("S"), F.col("project").cast("string")))
 
 
 @query("machine_evidence", f"WITH {_MENTIONS} SELECT project, family, model, docs::BIGINT AS docs, name_docs::BIGINT AS name_docs, (docs >= 2 OR name_docs >= 1) AND docs >= 0.1 * max(docs) OVER (PARTITION BY project) AS confirmed FROM machines")
@@ -163,9 +167,11 @@ def models_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 best AS (SELECT number, project AS owner, docs AS owner_docs, named AS owner_named, sum(docs) OVER (PARTITION BY number) AS total FROM votes QUALIFY row_number() OVER (PARTITION BY number ORDER BY docs DESC, named DESC, project) = 1)
 SELECT number, owner, owner_docs::BIGINT AS owner_docs, owner_named::BIGINT AS owner_named, total::BIGINT AS total, (owner_docs >= 2 OR owner_named >= 1) AND owner_docs >= 0.6 * total AS accepted FROM best""")
 def number_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
-    each = li.groupBy(F.col("l_partkey").alias("number"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("project"), "l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("in_name"))
-    votes = each.groupBy("number", "project").agg(F.count("*").alias("docs"), F.count_if("in_name").alias("named"))
+    """One exchange, by number; suppliers are named when they are counted."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("number"), "l_suppkey", "l_orderkey", (F.col("l_returnflag") == "R").alias("in_name"))
+    each = dealt_by(li, "number").groupBy("number", "l_suppkey", "l_orderkey").agg(F.bool_or("in_name").alias("in_name"))
+    votes = each.groupBy("number", "l_suppkey").agg(F.count("l_orderkey").alias("docs"), F.count_if(F.col("in_name") & F.col("l_orderkey").isNotNull()).alias("named"))
+    votes = votes.select("number", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("project"), "docs", "named")
     return linkage.majority(votes, "number").withColumn("accepted", linkage.accepted(F.lit(False)))
 
 

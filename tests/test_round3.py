@@ -95,3 +95,21 @@ def test_a_word_is_hashed_once(spark, sf_dir):
         words = ["a", "é", "mot", "x1"]
         want = [int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "little") % dim for w in words]
         assert spark.range(1).select(hash_terms(F.lit(words), dim).alias("h")).first().h == want
+
+
+def test_owners_and_machines_of_odd_rows(spark, sf_dir, tmp_path):
+    changes = "l_orderkey % 40 AS l_orderkey, l_partkey % 30 AS l_partkey, CASE WHEN l_suppkey % 7 > 0 THEN l_suppkey % 5 END AS l_suppkey, CASE WHEN l_orderkey % 5 > 0 THEN l_returnflag END AS l_returnflag"
+    some = f"SELECT {changes}, * EXCLUDE (l_orderkey, l_partkey, l_suppkey, l_returnflag) FROM {{0}}"
+    d = tables(tmp_path, sf_dir, lineitem=some + " UNION ALL SELECT NULL, 3, 2, 'R', * EXCLUDE (l_orderkey, l_partkey, l_suppkey, l_returnflag) FROM {0} WHERE l_orderkey < 9")
+    same(spark, QUERIES["number_ownership"], ORACLES["number_ownership"], d)
+
+
+def test_machines_are_told_in_one_pass(spark, sf_dir):
+    first = plan(QUERIES["machine_summary"](spark, sf_dir)).split("== Initial Plan ==")[0]
+    assert first.count("lineitem.parquet") == 1
+    assert plan(QUERIES["number_ownership"](spark, sf_dir)).count("Exchange") == 1
+
+
+def test_a_card_is_parsed_once(spark, sf_dir):
+    first = plan(QUERIES["catalog_filter"](spark, sf_dir)).split("== Initial Plan ==")[0]
+    assert first.count("Generate inline") == 5
