@@ -20,15 +20,18 @@ def parse_cards(files: DataFrame) -> DataFrame:
     """
     text = F.replace(F.regexp_replace("text", "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
     pattern = r"(?s)\A---\n(.*?)\n---\n?(.*)\z"
-    cut = files.select("file", F.rlike(text, F.lit(pattern)).alias("_ok"), F.regexp_extract(text, pattern, 1).alias("_head"), F.regexp_extract(text, pattern, 2).alias("_body"))
-    lines = F.filter(F.split("_head", "\n"), lambda x: F.trim(x) != "")
+    text_of = _once(files, _text=text).select("file", "_text")
+    cut = _once(text_of, _ok=F.rlike("_text", F.lit(pattern)), _head=F.regexp_extract("_text", pattern, 1))
     key = lambda x: F.trim(F.substring_index(x, ":", 1))
     value = lambda x: F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))
-    bad = F.filter(lines, lambda x: ~F.rlike(x, F.lit(r"^\s*[a-z_]+\s*:")))
+    lines = F.filter(F.split("_head", "\n"), lambda x: F.trim(x) != "")
+    cut = _once(cut, _lines=F.transform(lines, lambda x: F.struct(x.alias("line"), key(x).alias("key"), value(x).alias("value"))))
+    bad = F.filter("_lines", lambda x: ~F.rlike(x["line"], F.lit(r"^\s*[a-z_]+\s*:")))
     # of a key that stands twice, the last counts
-    last = F.filter(lines, lambda x, i: ~F.exists(F.slice(lines, i + 2, F.size(lines)), lambda y: key(y) == key(x)))
-    fields = F.map_from_entries(F.transform(last, lambda x: F.struct(key(x), value(x))))
-    out = cut.withColumn("_bad", F.get(bad, F.lit(0))).withColumn("fields", F.when(F.col("_ok") & F.col("_bad").isNull(), fields))
+    last = F.filter("_lines", lambda x, i: ~F.exists(F.slice("_lines", i + 2, F.size("_lines")), lambda y: y["key"] == x["key"]))
+    fields = F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["value"])))
+    cut = _once(cut, _bad=F.get(bad, F.lit(0))["line"])
+    out = _once(cut, fields=F.when(F.col("_ok") & F.col("_bad").isNull(), fields)).withColumn("_body", F.regexp_extract("_text", pattern, 2))
     item = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit(""))
     missing = F.array_join(F.filter(F.array(*[F.when(item(k) == "", F.lit(k)) for k in V.CARD_REQUIRED]), lambda x: x.isNotNull()), ", ")
     error = (
@@ -44,6 +47,11 @@ def parse_cards(files: DataFrame) -> DataFrame:
     return out.select("file", "fields", lists.alias("lists"), F.regexp_replace("_body", r"\A\n+|\n+\z", "").alias("body"), error.alias("error"))
 
 
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """rows with columns that are made once a row, whatever is made of them: no filter or projection is merged with them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+
+
 def values(key: str) -> Column:
     """The values of a header field of a parsed card; empty if it has none."""
     return F.coalesce(F.try_element_at("lists", F.lit(key)), F.array().cast("array<string>"))
